@@ -28,10 +28,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tw-{uuid.uuid4().hex}/{name}"
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """df in fewer partitions, two for each core or a sixteenth of the shuffle's, for writing without many small files."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 16))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    compact(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
