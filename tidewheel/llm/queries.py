@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, toxicity
-from .common import load
+from . import exact_dedup, mixing, paragraphs, prob_minhash, toxicity
+from .common import compact, load
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,15 +17,20 @@ def query(f):
     return f
 
 
+@query
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact(paragraphs.paragraph_classes(load(spark, sf_dir, "documents")))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return compact(toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
 
 
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return compact(found).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE_SQL["op4_exact_dedup"] = """
@@ -36,11 +41,16 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact(prob_minhash.class_ids(load(spark, sf_dir, "documents")))
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.assign(load(spark, sf_dir, "documents"))
     first = F.floor(F.get("positions", 0) * 1e6).cast("long")
-    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("long").alias("copies"), first.alias("first_position_ppm"))
+    return compact(found).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("long").alias("copies"), first.alias("first_position_ppm"))
 
 
 ORACLE_SQL["op10_mixing"] = r"""
