@@ -21,12 +21,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sha256_hex
+from .common import sha256_hex, written
 
 WEIGHTS = (5, 2, 1)
 #: Weight over time by the same turn as WEIGHTS, as (time, weight) knots joined by straight lines.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (1.0, 0.5)))
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1_000
 #: Sources up to this many are broadcast; more are joined by sort-merge.
 MAX_BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,6 +82,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     key = F.lit(None).cast("binary") if key is None else key
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(ident).alias("__h"), key.alias("__key"))
+    sized = written(sized, "sized")  # texts are read and counted once
     sources = source_plan(sized, max_repeats=max_repeats, **plan)
     few = sources.count() <= MAX_BROADCAST_SOURCES
     small = sources.withColumnRenamed("source", "__s")

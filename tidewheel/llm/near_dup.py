@@ -45,7 +45,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def verifier(similarity: Callable, least: float, features: Callable = shingles.counted) -> Callable:
-    """A function for mapInArrow over (a, b, text_a, text_b) that passes pairs of at least this similarity."""
+    """From rows (a, b, text_a, text_b) to the pairs a, b of at least this similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple] = {}
@@ -63,14 +63,14 @@ def verifier(similarity: Callable, least: float, features: Callable = shingles.c
             ok = [similarity(of(i, x[k].as_py()), of(j, y[k].as_py())) >= least for k, (i, j) in enumerate(zip(a, b, strict=True))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return verify
+    return lambda rows: rows.mapInArrow(verify, "a long, b long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, verify: Callable) -> DataFrame:
     """The pairs a, b whose texts pass. nodes: node, text."""
     rows = pairs.join(nodes.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     rows = rows.join(nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return verify(rows.select("a", "b", "text_a", "text_b"))
 
 
 def near_classes(items: DataFrame, verify: Callable) -> DataFrame:

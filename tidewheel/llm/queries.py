@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, paragraphs, prob_minhash, toxicity
+from . import edit_embedding, exact_dedup, mixing, paragraphs, prob_minhash, toxicity
 from .common import compact, load
 
 QUERIES: dict = {}
@@ -41,6 +41,11 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact(edit_embedding.fingerprint_documents(load(spark, sf_dir, "documents")))
+
+
 @query
 def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(prob_minhash.class_ids(load(spark, sf_dir, "documents")))
