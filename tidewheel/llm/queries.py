@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_embedding, exact_dedup, mixing, paragraphs, prob_minhash, toxicity
+from . import edit_embedding, exact_dedup, mixing, paragraphs, prob_minhash, suffix_dedup, toxicity
 from .common import compact, load
 
 QUERIES: dict = {}
@@ -51,6 +51,12 @@ def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(prob_minhash.class_ids(load(spark, sf_dir, "documents")))
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.removed_spans(load(spark, sf_dir, "documents"))
+    return compact(found).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.assign(load(spark, sf_dir, "documents"))
