@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_embedding, exact_dedup, mixing, paragraphs, prob_minhash, suffix_dedup, toxicity
+from . import edit_embedding, exact_dedup, mixing, paragraphs, prob_minhash, sampled_pieces, suffix_dedup, toxicity
 from .common import compact, load
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(paragraphs.paragraph_classes(load(spark, sf_dir, "documents")))
 
 
+@query
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact(sampled_pieces.encode_documents(load(spark, sf_dir, "documents")))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
