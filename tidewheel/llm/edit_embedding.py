@@ -31,7 +31,8 @@ from .common import shuffle_partitions, text_or_empty, written
 from .shingles import mixed
 
 SLOTS = 256
-BANDS, PER_BAND = 24, 6
+#: A band samples its slots within a stretch of the grid, which walks that met again agree on.
+BANDS, PER_BAND, STRETCH = 32, 5, 16
 SIMILARITY = 0.8
 CHUNK_CHARS = 1 << 24
 
@@ -39,7 +40,7 @@ _U = np.uint64
 _PAD = 64
 _STEPS = 4096
 _HEX = "0123456789abcdef"
-_SLOTS_OF = np.stack([np.random.default_rng(100 + b).choice(SLOTS // 3, PER_BAND, replace=False) for b in range(BANDS)])
+_SLOTS_OF = np.stack([b * (SLOTS // 3 - STRETCH) // (BANDS - 1) + np.random.default_rng(100 + b).choice(STRETCH, PER_BAND, replace=False) for b in range(BANDS)])
 
 
 def level_of(n_chars: int) -> int:
@@ -194,6 +195,32 @@ def bands_of(fingerprint: str) -> list[int]:
     return out
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, a column of the table at a time in the bits of an integer."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        match = at.get(c, 0)
+        across = (((match & up) + up) ^ up) | match | down
+        rise, fall = down | ~(across | up) & full, up & across
+        distance += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = fall | ~(across | rise) & full, rise & across
+    return distance
+
+
+def edit_similarity(a: str, b: str) -> float:
+    longest = max(len(a), len(b))
+    if not longest:
+        return 1.0
+    return 1 - edit_distance(a, b) / longest
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, class_id, kept: classes of texts whose edit distance is at most 1 - similarity of the longer one, over band matches."""
     narrow = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -208,12 +235,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     items = narrow.mapInArrow(sign, f"id {kind}, key binary, bands array<long>, text string").withColumn("rid", F.monotonically_increasing_id())
 
-    def verify(rows: DataFrame) -> DataFrame:
-        longest = F.greatest(F.length("text_a"), F.length("text_b"))
-        rows = rows.withColumn("most", F.floor((F.lit(1.0) - similarity) * longest + 1e-9).cast("int"))
-        rows = rows.where(F.abs(F.length("text_a") - F.length("text_b")) <= F.col("most"))
-        return rows.where(F.levenshtein("text_a", "text_b") <= F.col("most")).select("a", "b")
-
-    found = written(near_dup.near_classes(written(items, "items"), verify).select("rid", "id", "root"), "class_rows")
+    measure = near_dup.Measure(lambda t: t, edit_similarity, similarity)
+    found = written(near_dup.near_classes(written(items, "items"), measure).select("rid", "id", "root"), "class_rows")
     heads = written(found.where("rid = root").select(F.col("rid").alias("root"), F.col("id").alias("class_id")), "heads")
     return found.join(heads, "root").select(F.col("id").alias(id_col), "class_id", (F.col("rid") == F.col("root")).alias("kept"))

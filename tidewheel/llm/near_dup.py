@@ -3,13 +3,14 @@
 Items with the same content key are one node, so copies cost a row. Of the nodes that share a band key each is
 compared with the smallest and the largest of them; verified pairs are linked and components taken. In a bucket whose
 nodes are still in several components, every node outside its largest component is then compared with all nodes of
-the others, so every pair that shares a band key is either compared or already in one class. No pair within a class is
-ever made, so a group of n near copies costs about n comparisons a band and not n * n.
+the others, so every pair that shares a band key is either compared or already in one class. That is done block by
+block within tasks, which return links alone; a pair of several common bands is compared in the first of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ from . import shingles
 from .common import written
 from .components import components
 
+#: Nodes of a bucket that are held in a task at a time, of either side.
+BLOCK = 256
+
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard similarity of two weighted sets (sorted keys, weights): scale-free, Jaccard for equal weights."""
@@ -44,36 +48,100 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / max(len(a[0]) + len(b[0]) - common, 1)
 
 
-def verifier(similarity: Callable, least: float, features: Callable = shingles.counted) -> Callable:
-    """From rows (a, b, text_a, text_b) to the pairs a, b of at least this similarity."""
+@dataclass
+class Measure:
+    """similarity(features(x), features(y)) >= least links two texts. sets: features are (sorted keys, weights) and the
+    similarity is at most the share of either's weight that is common."""
+
+    features: Callable
+    similarity: Callable
+    least: float
+    sets: bool = False
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs a, b whose texts are linked. nodes: node, text."""
+    rows = pairs.join(nodes.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = rows.join(nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple] = {}
 
-        def of(node: int, text: str) -> tuple:
+        def of(node: int, text: pa.Scalar) -> tuple:
             if node not in seen:
                 if len(seen) >= 128:
                     seen.clear()
-                seen[node] = features(text)
+                seen[node] = measure.features(text.as_py())
             return seen[node]
 
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             x, y = batch.column("text_a"), batch.column("text_b")
-            ok = [similarity(of(i, x[k].as_py()), of(j, y[k].as_py())) >= least for k, (i, j) in enumerate(zip(a, b, strict=True))]
+            ok = [measure.similarity(of(i, x[k]), of(j, y[k])) >= measure.least for k, (i, j) in enumerate(zip(a, b, strict=True))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return lambda rows: rows.mapInArrow(verify, "a long, b long")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+
+
+def compare_block(measure: Measure, band: int, few: list[tuple], rest: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links between rows (node, root, is_few, bands, features) of few and of rest in different components that have no
+    earlier band in common than this one. A pair of two few rows is left to the smaller one."""
+    node, root = np.array([x[0] for x in rest]), np.array([x[1] for x in rest])
+    is_few, bands = np.array([x[2] for x in rest], dtype=bool), np.stack([x[3] for x in rest])
+    if measure.sets:
+        sizes = np.array([len(x[4][0]) for x in rest])
+        keys, place = np.unique(np.concatenate([x[4][0] for x in rest]), return_inverse=True)
+        weight = np.concatenate([x[4][1] / x[4][1].sum() for x in rest])
+        at = np.cumsum(sizes) - sizes
+    for n, r, _, own, features in few:
+        same = bands == own
+        fit = (root != r) & (~is_few | (node > n)) & (own[same.argmax(axis=1)] == band)
+        if measure.sets and fit.any():
+            found = np.isin(keys, features[0])
+            share = np.add.reduceat(weight * found[place], at)
+            fit &= share >= measure.least - 1e-9
+        for k in np.flatnonzero(fit):
+            if measure.similarity(features, rest[k][4]) >= measure.least:
+                yield min(n, int(node[k])), max(n, int(node[k]))
+
+
+def across(rows: DataFrame, measure: Measure) -> DataFrame:
+    """Links a, b between components within buckets. rows: band, node, root, main (the bucket's largest component), bands, text."""
+    few = F.col("root") != F.col("main")
+    size = rows.groupBy("band").agg(F.count("*").alias("n"), F.count(F.when(few, 1)).alias("m"))
+    rows = rows.join(written(size, "block_sizes"), "band").withColumn("few", few)
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1)
+    cells = F.transform(all_of("m"), lambda f: F.struct(f.alias("f"), mine("n").alias("g"), F.lit(False).alias("left")))
+    of_few = F.transform(all_of("n"), lambda g: F.struct(mine("m").alias("f"), g.alias("g"), F.lit(True).alias("left")))
+    rows = rows.withColumn("c", F.explode(F.when(F.col("few"), F.concat(cells, of_few)).otherwise(cells)))
+    rows = rows.select("band", "c.f", "c.g", "c.left", "few", "node", "root", "bands", "text")
+    names = ["band", "f", "g", "left", "few", "node", "root", "bands", "text"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, seen = None, ([], []), {}
+
+        def links() -> pa.RecordBatch:
+            found = list(compare_block(measure, now[0], sides[1], sides[0])) if sides[0] and sides[1] else []
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+        for batch in batches:
+            for band, f, g, left, is_few, node, root, bands, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (band, f, g) != now:
+                    if now:
+                        yield links()
+                    now, sides, seen = (band, f, g), ([], []), {}
+                if node not in seen:
+                    seen[node] = measure.features(text)
+                sides[left].append((node, root, is_few, np.array(bands, dtype=np.int64), seen[node]))
+        if now:
+            yield links()
 
-def verified(pairs: DataFrame, nodes: DataFrame, verify: Callable) -> DataFrame:
-    """The pairs a, b whose texts pass. nodes: node, text."""
-    rows = pairs.join(nodes.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    rows = rows.join(nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return verify(rows.select("a", "b", "text_a", "text_b"))
+    return rows.repartition("band", "f", "g").sortWithinPartitions("band", "f", "g").mapInArrow(compare, "a long, b long")
 
 
-def near_classes(items: DataFrame, verify: Callable) -> DataFrame:
+def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     """items (a written table): rid long (unique), key binary, bands array<long>, text string, and more.
 
     Returns items without bands and text but with root: the smallest rid of the class the item is in.
@@ -88,8 +156,8 @@ def near_classes(items: DataFrame, verify: Callable) -> DataFrame:
     by_high = shared.where("node < high AND node > low").select(F.col("node").alias("a"), F.col("high").alias("b"))
     pairs = written(by_low.unionByName(by_high).distinct(), "pairs")
     wanted = shared.select("node").distinct()
-    texts = written(items.join(wanted.hint("merge"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "text"), "texts")
-    links = written(verified(pairs, texts, verify), "verified")
+    texts = written(items.join(wanted.hint("merge"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "bands", "text"), "texts")
+    links = written(verified(pairs, texts, measure), "verified")
     roots = components(links)
 
     # buckets of four or more have pairs without an end: those are made where components differ
@@ -99,12 +167,7 @@ def near_classes(items: DataFrame, verify: Callable) -> DataFrame:
     main = share.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
     main = written(main, "mains")
     if not main.isEmpty():
-        rest = big.join(main, "band")
-        few = written(rest.where("root != main").select("band", F.col("node").alias("x"), F.col("root").alias("rx")), "few")
-        more = few.join(rest.select("band", "node", "root"), "band").where("rx != root")
-        more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-        late = written(verified(more, texts, verify), "verified")
+        late = written(across(big.join(main, "band").join(texts, "node"), measure), "verified")
         if not late.isEmpty():
             roots = components(links.unionByName(late))
     classes = written(reps.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "classes")

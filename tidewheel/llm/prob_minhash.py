@@ -86,7 +86,7 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: rid, id, digest and root, the rid of the row that stands for the class."""
     items = prepared(docs, id_col, text_col)
-    return near_dup.near_classes(items, near_dup.verifier(near_dup.probability_jaccard, similarity))
+    return near_dup.near_classes(items, near_dup.Measure(shingles.counted, near_dup.probability_jaccard, similarity, sets=True))
 
 
 def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
