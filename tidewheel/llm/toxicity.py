@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .optimise import minimised
 
 GRAMS = (3, 4, 5)
 HASH_BITS = 20
@@ -109,35 +110,7 @@ def fit_logistic(owner: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: n
 
     w = np.zeros(k + 1)
     w[k] = np.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9))
-    f, g = loss(w)
-    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(rounds):
-        d, back = g.copy(), []
-        for s, q, rho in reversed(steps):
-            back.append(a := rho * (s @ d))
-            d -= a * q
-        if steps:
-            s, q, _ = steps[-1]
-            d *= (s @ q) / (q @ q)
-        for (s, q, rho), a in zip(steps, reversed(back), strict=True):
-            d += s * (a - rho * (q @ d))
-        slope, t = g @ d, 1.0 if steps else min(1.0, 1 / (np.abs(g).sum() + 1e-12))
-        if slope <= 1e-12:
-            break
-        for _ in range(20):
-            f2, g2 = loss(w - t * d)
-            if f2 <= f - 1e-4 * t * slope:
-                break
-            t /= 2
-        else:
-            break
-        s, q = -t * d, g2 - g
-        done = f - f2 < 1e-9
-        w, f, g = w + s, f2, g2
-        if s @ q > 1e-12:
-            steps = [*steps[-9:], (s, q, 1 / (s @ q))]
-        if done:
-            break
+    w = minimised(loss, w, rounds)
     return w[:k] * scale, float(w[k])
 
 
