@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_embedding, exact_dedup, html_text, mixing, paragraphs, prob_minhash, sampled_pieces, suffix_dedup, toxicity
+from . import edit_embedding, exact_dedup, html_text, mixing, paragraphs, private_data, prob_minhash, sampled_pieces, suffix_dedup, toxicity
 from .common import compact, load
 
 QUERIES: dict = {}
@@ -61,6 +61,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(html_text.extract(load(spark, sf_dir, "pages")))
 
 
+@query
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact(private_data.digest_columns(private_data.find(load(spark, sf_dir, "documents"))))
+
+
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.removed_spans(load(spark, sf_dir, "documents"))

@@ -93,7 +93,8 @@ class Model:
             for first, chunk in _chunks(texts):
                 owner, feature = present(chunk, self.index)
                 out[first : first + len(chunk)] += np.bincount(owner, self.weights[feature], minlength=len(chunk))
-        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-out))
 
 
 def fit_logistic(owner: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -150,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_pos, n_neg = (totals["pos"], totals["neg"]) if totals else (0, 0)
     empty = np.full(1 << HASH_BITS, -1, dtype=np.int32)
     if not n_pos or not n_neg:
-        share = n_pos / (n_pos + n_neg) if n_pos else 0.0
-        return Model(empty, np.zeros(0), float(np.clip(np.log(max(share, 1e-300)) - np.log(max(1 - share, 1e-300)), -500, 500)))
+        share = int(n_pos > 0)
+        return Model(empty, np.zeros(0), float("inf") if share else float("-inf"))
     ratio = F.log((p + SMOOTHING) / (n_pos + 2 * SMOOTHING) / ((q + SMOOTHING) / (n_neg + 2 * SMOOTHING)))
     expected = (p + q) * F.lit(n_pos / (n_pos + n_neg))
     chosen = counts.where((F.col("bucket") >= 0) & (p + q >= MIN_DOCS)).withColumn("ratio", ratio).withColumn("chi", (p - expected) * (p - expected) / expected)
