@@ -29,9 +29,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """df in fewer partitions, two for each core or a sixteenth of the shuffle's, for writing without many small files."""
+    """df in fewer partitions, one for each core or a thirty-second of the shuffle's, for writing without many small files."""
     spark = df.sparkSession
-    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 16))
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 32))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +49,16 @@ def sha256_hex(column: str = "text") -> Column:
     return F.sha2(text_or_empty(column), 256)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of texts have at most this many rows, here and in the rest of the session: their size is what
+    executors hold outside the heap, and Spark bounds it by rows alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
