@@ -58,7 +58,7 @@ def test_matches_brute_force(spark, most):
 def test_boundaries_are_common_prefixes_below_the_bound():
     rng = random.Random(2)
     s = "".join(rng.choice("ab") for _ in range(60)) * 3 + "c"
-    text = np.array([ord(c) for c in s] + [300], dtype=np.int64)
+    text = np.frombuffer(s.encode() + b"\xff", dtype=np.uint8)
     order = S.suffix_order(text, 40)
     got = S.boundaries(text, order, 40)
 

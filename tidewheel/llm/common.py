@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,10 +35,17 @@ def compact(df: DataFrame) -> DataFrame:
     return df.coalesce(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 32))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more; it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
     path = fresh_path(df.sparkSession, name)
     compact(df).write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,9 @@
 """Removal of every byte that lies in a long string which also starts elsewhere, by bounded interval expansion on a BWT.
 
 Anchors. Each window of min_len bytes names one of its ANCHOR-byte strings, the one of the smallest hash (the leftmost of
-equals), so equal windows name it at the same place. All windows that name an anchor lie in its region, the
-min_len - ANCHOR bytes before it and min_len bytes from it on. A window that starts elsewhere too is thus found by
-comparing regions of equal anchors at equal offsets, and nothing else has to meet in a task.
+equals), so equal windows name it at the same place. The windows that name an anchor follow each other; what they cover is
+its region. A window that starts elsewhere too is thus found by comparing regions of equal anchors at equal offsets, and
+nothing else has to meet in a task.
 
 Groups. Anchors are grouped by hash. A region that occurs twice as a whole is repeated as a whole: counting digests
 settles it. Where a group has different regions, one of each goes to the suffix machinery: the Burrows-Wheeler transform
@@ -32,8 +32,8 @@ from .common import text_or_empty, written
 from .shingles import mixed, powers
 
 MIN_LEN = 200
-ANCHOR = 16
-MOST_REGIONS = 4096
+ANCHOR = 48
+MOST_REGIONS = 16_384
 PIECE = 1 << 22
 BUNDLE = 1 << 20
 
@@ -53,13 +53,14 @@ class RangeHash:
         return mixed((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def anchors(raw: np.ndarray, hashes: np.ndarray, begin: np.ndarray, stop: np.ndarray, min_len: int) -> np.ndarray:
-    """Positions of the anchors of all windows within the texts [begin, stop) of raw; hashes are those of all ANCHOR-byte strings."""
+def anchors(hashes: np.ndarray, begin: np.ndarray, stop: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows within the texts [begin, stop): each anchor's position, and the first and last window that name it.
+    hashes are those of all ANCHOR-byte strings."""
     width, n = min_len - ANCHOR + 1, len(hashes)
     if n < width:
-        return np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.int64),) * 3
     low = _U((1 << 24) - 1)
-    named = np.zeros(n, dtype=bool)
+    found = []
     step = 1 << 23
     for at in range(0, n - width + 1, step):
         part = hashes[at : at + step + width - 1]
@@ -71,18 +72,28 @@ def anchors(raw: np.ndarray, hashes: np.ndarray, begin: np.ndarray, stop: np.nda
         ahead = np.minimum.accumulate(padded, axis=1).ravel()
         back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
         m = len(key) - width + 1
-        least = np.minimum(back[:m], ahead[width - 1 : width - 1 + m])
-        inside = np.zeros(m + 1, dtype=np.int8)
+        named = (np.minimum(back[:m], ahead[width - 1 : width - 1 + m]) & low).astype(np.int64)
+        inside = np.zeros(m + 1, dtype=np.int32)
         first, last = np.clip(begin - at, 0, m), np.clip(stop - min_len + 1 - at, 0, m)
         some = last > first
         np.add.at(inside, first[some], 1)
         np.add.at(inside, last[some], -1)
-        named[at + (least[np.cumsum(inside[:m]) > 0] & low).astype(np.int64)] = True
-    return np.flatnonzero(named)
+        valid = np.flatnonzero(np.cumsum(inside[:m]) > 0)
+        if not len(valid):
+            continue
+        named = named[valid]
+        new = np.append(True, (named[1:] != named[:-1]) | (valid[1:] != valid[:-1] + 1))
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(valid)) - 1
+        found.append((at + named[starts], at + valid[starts], at + valid[ends]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
 
 
 def scan(texts: list[bytes], min_len: int = MIN_LEN) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By chunk of texts: index of the first, offsets of each text's anchors, their hashes, digests of regions, positions."""
+    """By chunk of texts: index of the first, offsets of each text's anchors, their hashes, digests of regions, places.
+
+    A place holds the start of the region (from bit 16), the anchor's distance from it and the windows after the first.
+    """
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -95,33 +106,40 @@ def scan(texts: list[bytes], min_len: int = MIN_LEN) -> Iterator[tuple[int, np.n
         ranges = RangeHash(raw)
         all_at = np.arange(max(len(raw) - ANCHOR + 1, 0))
         hashes = ranges(all_at, all_at + ANCHOR)
-        at = anchors(raw, hashes, begin, ends, min_len)
+        at, low, high = anchors(hashes, begin, ends, min_len)
         owner = np.searchsorted(ends, at, "right")
-        left, right = np.maximum(begin[owner], at - (min_len - ANCHOR)), np.minimum(ends[owner], at + min_len)
-        digest = mixed(ranges(left, right) + (at - left).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-        yield first, np.searchsorted(owner, np.arange(len(chunk) + 1)), hashes[at].view(np.int64), digest.view(np.int64), at - begin[owner]
+        digest = mixed(ranges(low, high + min_len) + (at - low).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        place = (low - begin[owner]) << 16 | (at - low) << 8 | (high - low)
+        yield first, np.searchsorted(owner, np.arange(len(chunk) + 1)), hashes[at].view(np.int64), digest.view(np.int64), place
         first, size = i + 1, 0
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text (symbols below 2**16) sorted by their first depth symbols at least, by doubling."""
+    """Suffixes of a text of bytes sorted by their first depth bytes at least: by eight bytes, then by three ranks at a time."""
     n = len(text)
-    wide = np.zeros(n + 4, dtype=np.uint64)
+    if n >= 1 << 21:
+        bits, times = 32, 2
+    else:
+        bits, times = 21, 3
+    wide = np.zeros(n + 8, dtype=np.uint64)
     wide[:n] = text
-    key = wide[:n] << _U(48) | wide[1 : n + 1] << _U(32) | wide[2 : n + 2] << _U(16) | wide[3 : n + 3]
-    known = 4
+    key = np.zeros(n, dtype=np.uint64)
+    for i in range(8):
+        key = key << _U(8) | wide[i : n + i]
+    known = 8
     while True:
         order = np.argsort(key)
         ordered = key[order]
         fresh = np.append(True, ordered[1:] != ordered[:-1])
-        rank = np.empty(n + 1, dtype=np.uint64)
-        rank[order] = np.cumsum(fresh).astype(np.uint64)
-        rank[n] = 0
         if known >= depth or fresh.all():
             return order
-        key = rank[:n] << _U(32)
-        key[: max(n - known, 0)] |= rank[known:n]
-        known *= 2
+        rank = np.zeros(n, dtype=np.uint64)
+        rank[order] = np.cumsum(fresh)
+        key = rank.copy()
+        for i in range(1, times):
+            key <<= _U(bits)
+            key[: max(n - i * known, 0)] |= rank[i * known :]
+        known *= times
 
 
 def boundaries(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarray:
@@ -131,7 +149,7 @@ def boundaries(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarray:
     end of a new interval is a boundary of value |w|, and only intervals with a new end are extended in turn.
     """
     n = len(text)
-    bwt = text[order - 1]
+    bwt = text[order - 1]  # bytes, so the stable sort below is a counting sort
     by_symbol = np.argsort(bwt, kind="stable")
     to = np.empty(n, dtype=np.int64)
     to[by_symbol] = np.arange(n)
@@ -163,13 +181,9 @@ def boundaries(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarray:
 def repeated(regions: list[bytes], groups: np.ndarray, left: np.ndarray, min_len: int = MIN_LEN) -> list[list[tuple[int, int]]]:
     """For each region the ranges covered by strings of min_len that another region of its group has at the same offset from the anchor."""
     sizes = np.array([len(r) for r in regions])
-    total = int(sizes.sum() + len(regions))
-    text = np.empty(total, dtype=np.int64)
-    ends = np.cumsum(sizes + 1) - 1  # places of the terminators, all different
-    body = np.ones(total, dtype=bool)
-    body[ends] = False
-    text[body] = np.frombuffer(b"".join(regions), dtype=np.uint8)
-    text[ends] = 256 + np.arange(len(regions))
+    # 0xff is in no UTF-8 text; windows that reach it are left out below
+    text = np.frombuffer(b"\xff".join([*regions, b""]), dtype=np.uint8)
+    ends = np.cumsum(sizes + 1) - 1
     order = suffix_order(text, min_len)
     number = np.cumsum(boundaries(text, order, min_len) < min_len)
     begin = ends - sizes
@@ -178,8 +192,11 @@ def repeated(regions: list[bytes], groups: np.ndarray, left: np.ndarray, min_len
     rows = np.flatnonzero(start + min_len <= sizes[owner])
     owner, start, number = owner[rows], start[rows], number[rows]
     offset = start - left[owner]
-    by = np.lexsort((offset, groups[owner], number))
-    tie = (np.diff(number[by]) == 0) & (np.diff(groups[owner][by]) == 0) & (np.diff(offset[by]) == 0)
+    group = np.unique(groups, return_inverse=True)[1][owner]
+    spread = int(offset.max(initial=0)) - int(offset.min(initial=0)) + 1
+    key = (number.astype(np.int64) * (int(group.max(initial=0)) + 1) + group) * spread + (offset - offset.min(initial=0))
+    by = np.argsort(key, kind="stable")
+    tie = np.diff(key[by]) == 0
     hit = by[np.append(tie, False) | np.append(False, tie)]
     out: list[list[tuple[int, int]]] = [[] for _ in regions]
     for r, s in sorted(zip(owner[hit].tolist(), start[hit].tolist(), strict=True)):
@@ -212,7 +229,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, min_len: int) -> DataFr
 
 
 def region_rows(texts: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
-    """wanted: rid, at, h, n, of. Returns of each its region: rid, at, h, n, of, left, region."""
+    """wanted: rid, at (a place), h, n, of. Returns of each its region: rid, at (its start), h, n, of, left, region."""
     lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("at", "h", "n", "of")).alias("w"))
     rows = texts.select("rid", "packed").join(lists, "rid")
 
@@ -223,8 +240,8 @@ def region_rows(texts: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
             for i, rid in enumerate(batch.column("rid").to_pylist()):
                 text = unpack(batch.column("packed")[i].as_py())
                 for w in batch.column("w")[i].as_py():
-                    begin = max(0, w["at"] - (min_len - ANCHOR))
-                    for k, v in (("rid", rid), ("at", w["at"]), ("h", w["h"]), ("n", w["n"]), ("of", w["of"]), ("left", w["at"] - begin), ("region", text[begin : w["at"] + min_len])):
+                    begin, left, more = w["at"] >> 16, w["at"] >> 8 & 255, w["at"] & 255
+                    for k, v in (("rid", rid), ("at", begin), ("h", w["h"]), ("n", w["n"]), ("of", w["of"]), ("left", left), ("region", text[begin : begin + more + min_len])):
                         out[k].append(v)
                 if len(out["rid"]) >= 20_000:
                     yield pa.RecordBatch.from_pydict(out, schema)
@@ -246,14 +263,13 @@ def by_intervals(regions: DataFrame, min_len: int) -> DataFrame:
             h = np.array([x[0] for x in held], dtype=np.int64)
             left = np.array([x[3] for x in held], dtype=np.int64)
             found = repeated([x[4] for x in held], h, left, min_len)
-            flat = [(x[1], x[2] - x[3] + s, x[2] - x[3] + e) for x, ranges in zip(held, found, strict=True) if x[5] == 1 for s, e in ranges]
+            flat = [(x[1], x[2] + s, x[2] + e) for x, ranges in zip(held, found, strict=True) if x[5] == 1 for s, e in ranges]
             columns = list(zip(*flat, strict=True)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rid", "s", "e"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "rid", "at", "left", "region", "n")), strict=True):
-                # a bundle ends with a group, and has fewer regions than there are spare symbols
-                if held and row[0] != held[-1][0] and (size >= BUNDLE or len(held) > 50_000):
+                if held and row[0] != held[-1][0] and size >= BUNDLE:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
@@ -274,30 +290,29 @@ def by_windows(regions: DataFrame, min_len: int) -> DataFrame:
                 starts = np.arange(max(len(region[i]) - min_len + 1, 0))
                 digest = RangeHash(np.frombuffer(region[i], dtype=np.uint8))(starts, starts + min_len).view(np.int64)
                 same = lambda v: pa.array(np.full(len(starts), v))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([same(h[i]), pa.array(starts - left[i]), pa.array(digest), same(rid[i]), same(at[i]), same(n[i])], ["h", "o", "d", "rid", "at", "n"])
+                yield pa.RecordBatch.from_arrays([same(h[i]), pa.array(starts - left[i]), pa.array(digest), same(rid[i]), pa.array(at[i] + starts), same(n[i])], ["h", "o", "d", "rid", "at", "n"])
 
     rows = written(regions.mapInArrow(cut, "h long, o long, d long, rid long, at long, n long"), "windows")
     often = written(rows.groupBy("h", "o", "d").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "often")
-    return rows.where("n = 1").join(often, ["h", "o", "d"]).select("rid", (F.col("at") + F.col("o")).alias("s"), (F.col("at") + F.col("o") + min_len).alias("e"))
+    return rows.where("n = 1").join(often, ["h", "o", "d"]).select("rid", F.col("at").alias("s"), (F.col("at") + min_len).alias("e"))
 
 
 def covered(texts: DataFrame, min_len: int = MIN_LEN, most_regions: int = MOST_REGIONS) -> DataFrame:
-    """Ranges rid, s, e of repeated bytes in the texts of scanned(); they overlap and may stick out of a text."""
+    """Ranges rid, s, e of repeated bytes in the texts of scanned(); they overlap."""
     every = texts.select("rid", F.explode(F.arrays_zip("h", "g", "at")).alias("x")).select("rid", "x.h", "x.g", "x.at")
     groups = every.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("n > 1")
     groups = written(groups.select("h", (F.col("lo") != F.col("hi")).alias("differ")), "groups")
     often = written(every.join(groups, "h"), "often")
-    reach = [(F.col("at") - (min_len - ANCHOR)).alias("s"), (F.col("at") + min_len).alias("e")]
+    start = F.shiftright("at", 16)
+    reach = [start.alias("s"), (start + F.col("at").bitwiseAND(255) + min_len).alias("e")]
     whole = often.where("NOT differ").select("rid", *reach)
     kinds = written(often.where("differ").groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("x")), "kinds")
     whole = whole.unionByName(often.where("differ").join(kinds.where("n > 1").select("h", "g"), ["h", "g"]).select("rid", *reach))
     many = written(kinds.groupBy("h").agg(F.count("*").alias("of")), "many")
     wanted = kinds.join(many, "h").select("x.rid", "x.at", "h", "n", "of")
-    regions = written(region_rows(texts, wanted, min_len), "regions")
-    parts = by_intervals(regions.where(F.col("of") <= most_regions), min_len)
-    large = regions.where(F.col("of") > most_regions)
+    parts = by_intervals(region_rows(texts, wanted.where(F.col("of") <= most_regions), min_len), min_len)
     if not many.where(F.col("of") > most_regions).isEmpty():
-        parts = parts.unionByName(by_windows(large, min_len))
+        parts = parts.unionByName(by_windows(region_rows(texts, wanted.where(F.col("of") > most_regions), min_len), min_len))
     return whole.unionByName(parts)
 
 
