@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dup
-from .common import shuffle_partitions, text_or_empty, written
+from .common import shuffle_partitions, text_or_empty, trimmed, written
 from .shingles import mixed
 
 SLOTS = 256
 #: A band samples its slots within a stretch of the grid, which walks that met again agree on.
 BANDS, PER_BAND, STRETCH = 32, 5, 16
 SIMILARITY = 0.8
-CHUNK_CHARS = 1 << 24
+CHUNK_CHARS = 1 << 23
 
 _U = np.uint64
 _PAD = 64
@@ -179,7 +179,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 texts.append(t)
                 size += len(t)
 
-    return rows.mapInArrow(walk, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(trimmed(walk), f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def bands_of(fingerprint: str) -> list[int]:
@@ -233,7 +233,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             bands = [bands_of(f) for f in fingerprints(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column("text")], ["id", "key", "bands", "text"])
 
-    items = narrow.mapInArrow(sign, f"id {kind}, key binary, bands array<long>, text string").withColumn("rid", F.monotonically_increasing_id())
+    items = narrow.mapInArrow(trimmed(sign), f"id {kind}, key binary, bands array<long>, text string").withColumn("rid", F.monotonically_increasing_id())
 
     measure = near_dup.Measure(lambda t: t, edit_similarity, similarity)
     found = written(near_dup.near_classes(written(items, "items"), measure).select("rid", "id", "root"), "class_rows")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 from .optimise import minimised
 
 N_TRAIN = 600
@@ -327,4 +327,4 @@ def extract(pages: DataFrame, field: Field | None = None, keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(run, f"{schema}, text string, n_chars long").select(*[F.col(c) for c in (*keep, "text", "n_chars")])
+    return narrow.mapInArrow(trimmed(run), f"{schema}, text string, n_chars long").select(*[F.col(c) for c in (*keep, "text", "n_chars")])

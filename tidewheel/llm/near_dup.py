@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import written
+from .common import trimmed, written
 from .components import components
 
 #: Nodes of a bucket that are held in a task at a time, of either side.
@@ -80,7 +80,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
             ok = [measure.similarity(of(i, x[k]), of(j, y[k])) >= measure.least for k, (i, j) in enumerate(zip(a, b, strict=True))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(verify), "a long, b long")
 
 
 def compare_block(measure: Measure, band: int, few: list[tuple], rest: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -138,7 +138,7 @@ def across(rows: DataFrame, measure: Measure) -> DataFrame:
         if now:
             yield links()
 
-    return rows.repartition("band", "f", "g").sortWithinPartitions("band", "f", "g").mapInArrow(compare, "a long, b long")
+    return rows.repartition("band", "f", "g").sortWithinPartitions("band", "f", "g").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def near_classes(items: DataFrame, measure: Measure) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 from .optimise import minimised
 
 KINDS = ("email", "ip", "card", "phone")
@@ -368,7 +368,7 @@ def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("id"), *rows], ["id", "base", "added"])
 
     spans = "array<struct<kind:string,start:int,end:int>>"
-    return narrow.mapInArrow(run, f"id {kind}, base {spans}, added {spans}").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(trimmed(run), f"id {kind}, base {spans}, added {spans}").withColumnRenamed("id", id_col)
 
 
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dup, shingles
-from .common import keep_winners, sha256_hex, text_or_empty, written
+from .common import keep_winners, sha256_hex, text_or_empty, trimmed, written
 from .shingles import mixed
 
 BANDS, ROWS = 18, 5
@@ -79,7 +79,7 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(keys, pa.binary()), lists, part.column("text")], ["id", "digest", "key", "bands", "text"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    out = narrow.mapInArrow(sign, f"id {kind}, digest binary, key binary, bands array<long>, text string")
+    out = narrow.mapInArrow(trimmed(sign), f"id {kind}, digest binary, key binary, bands array<long>, text string")
     return written(out.withColumn("rid", F.monotonically_increasing_id()), "items")
 
 

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 from .shingles import mixed, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANK_SHIFT = 10.0
 #: Log weight of a character written as bytes, below that of any piece.
 FALLBACK = -25.0
-CHUNK_CHARS = 1 << 21
-TABLE_CELLS = 1 << 21
+CHUNK_CHARS = 1 << 20
+TABLE_CELLS = 1 << 20
 
 _U = np.uint64
 _SPACE, _LITERAL = 0x2581, 0x110000
@@ -273,7 +273,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 )
 
     kind = narrow.schema["id"].dataType.simpleString()
-    out = narrow.mapInArrow(run, f"id {kind}, n_chars long, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
+    out = narrow.mapInArrow(trimmed(run), f"id {kind}, n_chars long, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -291,4 +291,4 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([b.decode("utf-8", "surrogatepass") for b in back])], ["id", "text"])
 
     narrow = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return narrow.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(trimmed(run), f"id {kind}, text string").withColumnRenamed("id", id_col)

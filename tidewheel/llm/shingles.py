@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SHINGLE = 5
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -35,7 +35,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 16, 2 * min(len(_powers[0]), 1 << 22))
+        size = n + (1 << 18)
         for i, base in enumerate((_BASE, _BACK)):
             step = np.full(size, base, dtype=np.uint64)
             step[0] = 1

@@ -28,13 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, trimmed, written
 from .shingles import mixed, powers
 
 MIN_LEN = 200
 ANCHOR = 48
 MOST_REGIONS = 16_384
-PIECE = 1 << 22
+PIECE = 1 << 20
 BUNDLE = 1 << 20
 
 _U = np.uint64
@@ -61,7 +61,7 @@ def anchors(hashes: np.ndarray, begin: np.ndarray, stop: np.ndarray, min_len: in
         return (np.zeros(0, dtype=np.int64),) * 3
     low = _U((1 << 24) - 1)
     found = []
-    step = 1 << 23
+    step = 1 << 21
     for at in range(0, n - width + 1, step):
         part = hashes[at : at + step + width - 1]
         key = (part & ~low) | np.arange(len(part), dtype=np.uint64)
@@ -224,7 +224,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, min_len: int) -> DataFr
                 )
 
     kind = narrow.schema["id"].dataType.simpleString()
-    out = narrow.mapInArrow(run, f"id {kind}, n_bytes long, sha string, packed binary, h array<long>, g array<long>, at array<long>")
+    out = narrow.mapInArrow(trimmed(run), f"id {kind}, n_bytes long, sha string, packed binary, h array<long>, g array<long>, at array<long>")
     return written(out.withColumn("rid", F.monotonically_increasing_id()), "scanned")
 
 
@@ -249,7 +249,7 @@ def region_rows(texts: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema)
 
     schema = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("of", pa.int64()), ("left", pa.int64()), ("region", pa.binary())])
-    return rows.mapInArrow(cut, "rid long, at long, h long, n long, of long, left long, region binary")
+    return rows.mapInArrow(trimmed(cut), "rid long, at long, h long, n long, of long, left long, region binary")
 
 
 def by_intervals(regions: DataFrame, min_len: int) -> DataFrame:
@@ -277,7 +277,7 @@ def by_intervals(regions: DataFrame, min_len: int) -> DataFrame:
         if held:
             yield flush()
 
-    return regions.repartition("h").sortWithinPartitions("h").mapInArrow(run, "rid long, s long, e long")
+    return regions.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(run), "rid long, s long, e long")
 
 
 def by_windows(regions: DataFrame, min_len: int) -> DataFrame:
@@ -292,7 +292,7 @@ def by_windows(regions: DataFrame, min_len: int) -> DataFrame:
                 same = lambda v: pa.array(np.full(len(starts), v))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([same(h[i]), pa.array(starts - left[i]), pa.array(digest), same(rid[i]), pa.array(at[i] + starts), same(n[i])], ["h", "o", "d", "rid", "at", "n"])
 
-    rows = written(regions.mapInArrow(cut, "h long, o long, d long, rid long, at long, n long"), "windows")
+    rows = written(regions.mapInArrow(trimmed(cut), "h long, o long, d long, rid long, at long, n long"), "windows")
     often = written(rows.groupBy("h", "o", "d").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "often")
     return rows.where("n = 1").join(often, ["h", "o", "d"]).select("rid", F.col("at").alias("s"), (F.col("at") + min_len).alias("e"))
 
@@ -360,4 +360,4 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>" + ", kept binary" * with_text
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(run), schema).withColumnRenamed("id", id_col)

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 from .optimise import minimised
 
 GRAMS = (3, 4, 5)
 HASH_BITS = 20
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 #: Bounds of the fit: labelled rows (taken by the hash of their id) and selected features.
 MAX_TRAIN = 8_000
 N_FEATURES = 8_192
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         hit = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1), pa.int32()), pa.array(np.append(seen[1][hit], docs_of[1]), pa.int64()), pa.array(np.append(seen[0][hit], docs_of[0]), pa.int64())], ["bucket", "pos", "neg"])
 
-    counts = rows.mapInArrow(count, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInArrow(trimmed(count), "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # the row of bucket -1 holds the numbers of documents and sorts first
     p, q = F.col("pos"), F.col("neg")
     whole = F.max(F.when(F.col("bucket") < 0, F.struct("pos", "neg")))
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 parts = np.split(feature.astype(np.int32), np.searchsorted(owner, np.arange(1, len(chunk))))
                 yield pa.RecordBatch.from_arrays([pa.array([int(v > 0) for v in y[first : first + len(chunk)]], pa.int32()), pa.array(parts, pa.list_(pa.int32()))], ["y", "f"])
 
-    table = rows.mapInArrow(select, "y int, f array<int>").toArrow()
+    table = rows.mapInArrow(trimmed(select), "y int, f array<int>").toArrow()
     lists = table.column("f").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy()) if isinstance(lists, pa.ListArray) else np.diff(lists.chunk(0).offsets.to_numpy())
     feature = (lists if isinstance(lists, pa.ListArray) else lists.chunk(0)).flatten().to_numpy()
