@@ -20,8 +20,8 @@ def with_event_time(packets: DataFrame) -> DataFrame:
 def sessions(packets: DataFrame, timeout_us: int = TIMEOUT_US, late: str = "1 hour") -> DataFrame:
     """Runs of flows by idle time; a run is emitted once the watermark has passed its end."""
     rows = with_event_time(packets).withWatermark("event_time", late).withColumn("flow", F.to_json(canonical_key()))
-    # a gap equal to the timeout keeps a session alive in batch windows; one microsecond more does so here too
-    by = rows.groupBy("flow", F.session_window("event_time", f"{timeout_us + 1} microseconds"))
+    # a gap equal to the timeout keeps a session alive, as in the table
+    by = rows.groupBy("flow", F.session_window("event_time", f"{timeout_us} microseconds"))
     return by.agg(F.min("now_us").alias("session_start"), F.max("now_us").alias("session_end"), F.count("*").alias("n_packets"), F.sum("pkt_len").alias("n_bytes")).drop("session_window")
 
 
