@@ -6,11 +6,15 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
@@ -59,12 +63,21 @@ def sha256_hex(column: str = "text") -> Column:
     return F.sha2(text_or_empty(column), 256)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of texts have at most this many rows, here and in the rest of the session: their size is what
-    executors hold outside the heap, and Spark bounds it by rows alone."""
+def prepare_session(spark: SparkSession, batch_rows: int = 1000) -> None:
+    """What the operators need of a session, once: Arrow batches of texts of at most batch_rows rows (their size is what executors
+    hold outside the heap, and Spark bounds it by rows alone), and this package on the executors' import path."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+    if int(spark.conf.get(key)) > batch_rows:
+        spark.conf.set(key, batch_rows)
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp(prefix="tidewheel-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(packed))
+        _shipped.add(context.applicationId)
 
 
 def trimmed(f: Callable) -> Callable:
@@ -82,7 +95,7 @@ def trimmed(f: Callable) -> Callable:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    bounded_batches(spark)
+    prepare_session(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
