@@ -13,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of input for each partition of a written table.
+FILE_INPUT = 64 << 20
+
 _shipped: set[str] = set()
 
 
@@ -35,10 +38,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tw-{uuid.uuid4().hex}/{name}"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of all tables that df reads, as Spark's statistics have it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def compact(df: DataFrame) -> DataFrame:
-    """df in fewer partitions, one for each core or a thirty-second of the shuffle's, for writing without many small files."""
-    spark = df.sparkSession
-    return df.coalesce(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 32))
+    """df in fewer partitions where it has many small ones: one for each FILE_INPUT bytes of input, at least one for each core.
+
+    So a small input does not end in hundreds of files, and a task's share does not grow with the input.
+    """
+    return df.coalesce(int(min(max(df.sparkSession.sparkContext.defaultParallelism, input_bytes(df) // FILE_INPUT), 1 << 30)))
 
 
 def release(spark: SparkSession) -> None:
