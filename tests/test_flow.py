@@ -196,6 +196,8 @@ def test_elephants(spark):
     assert {r.key for r in by_median if r.elephant} == {"A"} and by_median[0].median == 2.0
     cdf = {r.key: (r.pct_flows, r.share) for r in skew.flow_cdf(counts).collect()}
     assert cdf["A"] == (25.0, 0.5) and cdf["D"] == (100.0, 1.0)
+    few = skew.sampled_keys(spark.range(4000).withColumnRenamed("id", "seq"), F.col("seq") % 5, 0.25).count()
+    assert 850 < few < 1150
     r = skew.expected_speedup(counts, 8, 32, 2).first()
     assert r.share == 0.5 and r.speedup == pytest.approx(20)
 

@@ -65,6 +65,8 @@ def test_result_files(spark, tmp_path):
     assert (r.trace, r.nf, r.technique, r.lbatch, r.nb_cores) == ("univ2", "fw", "lazy", 4096, 2)
     hist = spark.createDataFrame([(1, 1, 5), (1, 3, 9), (2, 1, 7)], "run_id int, stride_size int, n long")
     assert [(r.stride_size, r.n) for r in results.latest_histogram(hist).orderBy("stride_size").collect()] == [(1, 7), (2, 0), (3, 9)]
+    (tmp_path / "hist.csv").write_text("# stride_size,count\n1,5\n3,9\n# stride_size,count\n1,7\n")
+    assert [(r.stride_size, r.n) for r in results.read_stride_csv(spark, str(tmp_path / "hist.csv")).orderBy("stride_size").collect()] == [(1, 7), (2, 0), (3, 9)]
     stats = results.parse_stats_report(spark.createDataFrame([("~~~~~~ Pktgen ~~~~~~\r\n  TX: 10 pkts 640 bytes\r\n  RX: 9 pkts 576 bytes",)], "report string")).first()
     assert tuple(stats) == (10, 640, 9, 576)
 
@@ -84,6 +86,16 @@ def test_generators(spark):
     assert {r.stride_size for r in strides.strides(p, "lazy").collect()} == {32}
 
 
+def test_rate_stream(spark, tmp_path):
+    q = traffic.rate_stream(spark, 1000, 50, churn_per_minute=100).writeStream.format("memory").queryName("rate").option("checkpointLocation", str(tmp_path / "c")).start()
+    while not spark.table("rate").count():
+        q.processAllAvailable()
+    q.stop()
+    got = spark.table("rate")
+    assert got.schema.simpleString() == spark.createDataFrame([], PACKET).schema.simpleString()
+    assert got.agg(F.max(F.col("dst_ip") - F.col("src_ip"))).first()[0] == 1 << 24
+
+
 @pytest.fixture
 def stream_dir(spark, tmp_path):
     rows = [r for r in some_traffic(11, 400) if r[3] in (6, 17)]

@@ -9,6 +9,11 @@ from ..schema import BATCH_SIZE
 from . import sketches, strides
 
 
+def sampled_keys(df: DataFrame, key: Column, share: float = 1.0) -> DataFrame:
+    """seq and key of a share of the packets, chosen by the hash of seq: what workers tell the orchestrator."""
+    return df.where(F.pmod(F.xxhash64("seq"), F.lit(1 << 30)) < int(share * (1 << 30))).select("seq", key.alias("key"))
+
+
 def flow_counts(df: DataFrame, key: Column) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 

@@ -358,14 +358,37 @@ _HEADS = {
     "greedy": "h AS (SELECT *, min(seq) OVER (PARTITION BY batch_id, key) AS head FROM k)",
     "sorted": "h AS (SELECT *, min(seq) OVER (PARTITION BY batch_id, key) AS head FROM k)",
 }
+_LANED = "n AS (SELECT * EXCLUDE (batch_id), (row_number() OVER (PARTITION BY lane ORDER BY seq) - 1) // 32 AS batch_id FROM l)"
+_ADJACENT = """lb AS (SELECT *, CASE WHEN lag(key) OVER w IS DISTINCT FROM key AND lag(seq) OVER w IS NOT NULL THEN 1 ELSE 0 END AS brk FROM n WINDOW w AS (PARTITION BY lane, batch_id ORDER BY seq)),
+lr AS (SELECT *, sum(brk) OVER (PARTITION BY lane, batch_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM lb)"""
+_TO_CORE = "l AS (SELECT *, ('0x' || substr(md5(CASE WHEN device = 'LAN' THEN concat_ws(',', src_ip, dst_ip, src_port, dst_port) ELSE concat_ws(',', dst_ip, src_ip, dst_port, src_port) END), 1, 8))::BIGINT % 4 AS lane FROM k)"
+_HEADS["multicore"] = f"{_TO_CORE}, {_LANED}, h AS (SELECT *, seq AS head FROM n)"
+_HEADS["lazy_multicore"] = f"{_TO_CORE}, {_LANED}, {_ADJACENT}, h AS (SELECT * EXCLUDE (brk), min(seq) OVER (PARTITION BY lane, batch_id, run) AS head FROM lr)"
+for _mode, _tracked in programs.TRACKED.items():
+    _split = f"top AS (SELECT key, count(*) AS n FROM k GROUP BY 1 ORDER BY n DESC, key LIMIT {_tracked}), l AS (SELECT k.*, CASE WHEN top.key IS NOT NULL AND proto = 17 THEN 'elephant' ELSE 'mice' END AS lane FROM k LEFT JOIN top USING (key)), {_LANED}"
+    _within = {"greedy": "lane, batch_id, run", "sorted": "lane, batch_id, key", "straw": "lane, batch_id"}[_mode]
+    _from = "lr" if _mode == "greedy" else "n"
+    _cols = "* EXCLUDE (brk)" if _mode == "greedy" else "*"
+    _HEADS[f"orchestrator_{_mode}"] = f"{_split}{', ' + _ADJACENT if _mode == 'greedy' else ''}, h AS (SELECT {_cols}, CASE WHEN lane = 'mice' THEN seq ELSE min(seq) OVER (PARTITION BY {_within}) END AS head FROM {_from})"
 _FW_HEADS = FLOW.replace("FROM packets)", "FROM h WHERE seq = head)")
+
+
+def _counting_program(technique: str):
+    def run(spark, sf):
+        found = programs.program(_packets(spark, sf), "telemetry", technique).where("position = 0")
+        return _plain_keys(sketches.key_counts(found, {"ips": programs.telemetry_keys()["ips"]}))
+
+    return run
+
+
 for _t in programs.TECHNIQUES:
+    QUERIES[f"program_telemetry_{_t}"] = _counting_program(_t)
+    ORACLE_SQL[f"program_telemetry_{_t}"] = f"WITH {PACKETS}, {_HEADS[_t]} SELECT 'ips' AS kind, concat_ws(',', src_ip, dst_ip) AS key, count(*) AS n FROM h WHERE seq = head GROUP BY 2"
     QUERIES[f"program_nop_{_t}"] = _program("nop", _t)
     QUERIES[f"program_fw_{_t}"] = _program("fw", _t)
-    if _t in _HEADS:
-        _end = "SELECT h.device, d.action, count(*) AS n_packets, count(*) FILTER (h.seq = h.head) AS n_strides FROM h JOIN d ON d.seq = h.head GROUP BY 1, 2"
-        ORACLE_SQL[f"program_nop_{_t}"] = f"WITH {PACKETS}, {_HEADS[_t]}, d AS (SELECT seq, {_SWAP} AS action FROM h WHERE seq = head) {_end}"
-        ORACLE_SQL[f"program_fw_{_t}"] = f"WITH {PACKETS}, {_HEADS[_t]}, {_FW_HEADS}, d AS (SELECT seq, action FROM fw) {_end}"
+    _end = "SELECT h.device, d.action, count(*) AS n_packets, count(*) FILTER (h.seq = h.head) AS n_strides FROM h JOIN d ON d.seq = h.head GROUP BY 1, 2"
+    ORACLE_SQL[f"program_nop_{_t}"] = f"WITH {PACKETS}, {_HEADS[_t]}, d AS (SELECT seq, {_SWAP} AS action FROM h WHERE seq = head) {_end}"
+    ORACLE_SQL[f"program_fw_{_t}"] = f"WITH {PACKETS}, {_HEADS[_t]}, {_FW_HEADS}, d AS (SELECT seq, action FROM fw) {_end}"
 
 
 # windows, limits, hashing

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import string_key
 from ..operators import flowtable, sketches, skew, strides, windows
-from ..schema import BATCH_SIZE, TIMEOUT_US, canonical_key, flow_key, ip_pair, port_pair
+from ..schema import BATCH_SIZE, KEY, TIMEOUT_US, canonical_key, flow_key, ip_pair, port_pair
 
 FUNCTIONS = ("nop", "fw", "telemetry")
 TECHNIQUES = ("baseline", "straw", "lazy", "greedy", "sorted", "multicore", "lazy_multicore", "orchestrator_greedy", "orchestrator_sorted", "orchestrator_straw")
@@ -18,6 +19,12 @@ TECHNIQUES = ("baseline", "straw", "lazy", "greedy", "sorted", "multicore", "laz
 TRACKED = {"greedy": 256, "sorted": 32, "straw": 1}
 
 
+def core_of(cores: int) -> Column:
+    """The core that both directions of a flow go to, by a hash that other engines have too."""
+    ends = canonical_key()
+    return F.pmod(string_key(F.concat_ws(",", *[ends[c].cast("string") for c in KEY])), F.lit(cores))
+
+
 def telemetry_keys() -> dict[str, Column]:
     return {"flow": flow_key(), "ips": ip_pair(), "ports": port_pair()}
 
@@ -49,7 +56,7 @@ def program(df: DataFrame, function: str, technique: str, cores: int = 4, timeou
         # adjacent runs are what the elephant lane of the first kind merges
         runs = skew.run_lanes(split, {"greedy": "lazy"}.get(mode, mode), batch_size=batch_size)
     elif technique.endswith("multicore"):
-        by_core = df.withColumn("lane", F.pmod(F.xxhash64(canonical_key()), F.lit(cores)).cast("string"))
+        by_core = df.withColumn("lane", core_of(cores).cast("string"))
         runs = strides.assign_strides(skew.lane_sequence(by_core, batch_size=batch_size), "lazy" if technique == "lazy_multicore" else "baseline", batch_size=batch_size, lane=lane)
     else:
         runs = strides.assign_strides(df.withColumn("lane", F.lit("all")), technique, batch_size=batch_size, lane=lane)

@@ -52,6 +52,16 @@ def latest_histogram(lines: DataFrame) -> DataFrame:
     return sizes.join(last, "stride_size", "left").select("stride_size", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def read_stride_csv(spark: SparkSession, path: str) -> DataFrame:
+    """file, stride_size, n of histogram files to which runs may have been appended: the last line of a size counts, missing
+    sizes up to the largest get 0."""
+    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("run_id", "line"))
+    lines = lines.where(F.col("line").rlike("^[0-9]+,[0-9]+")).select("file", "run_id", F.split_part("line", F.lit(","), F.lit(1)).cast("int").alias("stride_size"), F.trim(F.split_part("line", F.lit(","), F.lit(2))).cast("long").alias("n"))
+    last = lines.groupBy("file", "stride_size").agg(F.max_by("n", "run_id").alias("n"))
+    sizes = last.groupBy("file").agg(F.max("stride_size").alias("m")).select("file", F.explode(F.sequence(F.lit(1), "m")).alias("stride_size"))
+    return sizes.join(last, ["file", "stride_size"], "left").select("file", "stride_size", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def parse_bench_report(df: DataFrame, text: str = "report") -> DataFrame:
     """Totals and rates of a benchmark report."""
     get = lambda p, kind: F.regexp_extract(text, p, 1).cast(kind)

@@ -60,6 +60,26 @@ def packets(spark: SparkSession, n: int, n_flows: int, s: float = 0.0, packet_si
     )
 
 
+def rate_stream(spark: SparkSession, packets_per_second: int, n_flows: int, churn_per_minute: int = 0, packet_size: int = 64) -> DataFrame:
+    """An endless stream of packets at a rate. Churn replaces that many flows a minute by new ones, evenly over time."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", packets_per_second).load()
+    now = F.unix_micros("timestamp")
+    place = F.pmod(F.xxhash64("value"), F.lit(n_flows))
+    age = F.floor((now * churn_per_minute / 60_000_000 + place) / n_flows) if churn_per_minute else F.lit(0)
+    flow = (age * n_flows + place).cast("long")
+    return rows.select(
+        F.col("value").alias("seq"),
+        now.alias("now_us"),
+        F.lit("LAN").alias("device"),
+        F.lit(17).alias("proto"),
+        flow.alias("src_ip"),
+        (flow + (1 << 24)).alias("dst_ip"),
+        (flow % 65536).cast("int").alias("src_port"),
+        F.lit(80).alias("dst_port"),
+        F.lit(packet_size).cast("long").alias("pkt_len"),
+    )
+
+
 def sweep(rows: DataFrame, n_flows: int, exponents: list[float], seq: str = "seq") -> DataFrame:
     """rows once for each exponent, as column zipf, with their flows in closed form."""
     rows = rows.withColumn("zipf", F.explode(F.array(*[F.lit(s) for s in exponents])))
