@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,8 @@ def key_set(df: DataFrame, column: str) -> DataFrame:
 
 def filled_grid(df: DataFrame, axes: dict[str, list], values: list[str]) -> DataFrame:
     """Every combination of the axes' values, with 0 where df has no row."""
-    grid = None
-    for name, items in axes.items():
-        axis = df.sparkSession.createDataFrame([(x,) for x in items], f"{name} {df.schema[name].dataType.simpleString()}")
-        grid = axis if grid is None else grid.crossJoin(axis)
+    schema = ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for name in axes)
+    grid = df.sparkSession.createDataFrame(list(product(*axes.values())), schema)
     on = None
     for name in axes:
         c = grid[name].eqNullSafe(df[name])

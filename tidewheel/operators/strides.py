@@ -31,6 +31,7 @@ def assign_strides(df: DataFrame, mode: str = "lazy", key: Column | None = None,
         df = df.withColumn("__new", F.when(F.lag("seq").over(by_seq).isNull(), 0).otherwise(new))
         df = df.withColumn("stride_id", F.sum("__new").over(by_seq.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
     elif mode == "greedy":
+        df = df.repartition(*batch)  # else the window by key would be dealt out by itself
         df = df.withColumn("__first", F.min("seq").over(Window.partitionBy(*batch, "__k")))
         df = df.withColumn("stride_id", F.dense_rank().over(Window.partitionBy(*batch).orderBy("__first")) - 1).drop("__first")
     elif mode == "sorted":

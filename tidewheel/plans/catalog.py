@@ -280,7 +280,7 @@ def top_k_flows(spark, sf):
     return sketches.top_k(spark.read.parquet(f"{sf}/events.parquet"), F.col("user_id"), 32)
 
 
-@query()
+@query("SELECT event_type AS item, count(*) AS count FROM events GROUP BY 1")
 def approximate_top_k(spark, sf):
     return sketches.approximate_top_k(spark.read.parquet(f"{sf}/events.parquet"), F.col("event_type"), 5)
 
