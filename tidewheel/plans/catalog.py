@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from ..operators import chash, flowtable, limiter, sketches, skew, stats, stride
 from ..schema import DROP, LAN, WAN, flow_key
 from ..sources import packets as source
 from ..sources import results, traffic
+from ..streaming import streams
 from . import programs
 
 QUERIES: dict = {}
@@ -222,6 +226,13 @@ def limited_table(spark, sf):
     return found.groupBy("device", "action").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {PACKETS}, {FLOW} SELECT seq, action FROM fw")
+def stream_firewall(spark, sf):
+    """The firewall as a stateful stream, into the session's shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewheel-")
+    return streams.drained(streams.firewall(source.events_as_stream(spark, sf), TIMEOUT), f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}")
+
+
 def _telemetry_sql(rows: str) -> str:
     return f"""SELECT 'flow' AS kind, concat_ws(',', src_ip, dst_ip, src_port, dst_port) AS key, count(*) AS n FROM {rows} GROUP BY 2
 UNION ALL SELECT 'ips', concat_ws(',', src_ip, dst_ip), count(*) FROM {rows} GROUP BY 2 UNION ALL SELECT 'ports', concat_ws(',', src_port, dst_port), count(*) FROM {rows} GROUP BY 2"""

@@ -18,11 +18,20 @@ def wall_micros(ts: Column) -> Column:
 
 
 def events_as_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as packets: users on the LAN side talk to seven services on the WAN side."""
+    return as_packets(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def events_as_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packets as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return as_packets(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def as_packets(events: DataFrame) -> DataFrame:
+    """Events as packets: users on the LAN side talk to seven services on the WAN side."""
     lan = F.col("event_type").isin("click", "view")
     user, service = F.col("user_id"), F.lit(1_000_000) + F.col("user_id") % 7
     own, port = (F.lit(40_000) + F.col("user_id") % 100).cast("int"), F.lit(80)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.select(
         F.col("event_id").alias("seq"),
         wall_micros(F.col("ts")).alias("now_us"),

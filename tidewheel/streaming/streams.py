@@ -13,6 +13,13 @@ from ..operators import strides
 from ..schema import LAN, TIMEOUT_US, WAN, DROP, canonical_key
 
 
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what is there, into Parquet under path with its checkpoint beside it, and read the result."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def with_event_time(packets: DataFrame) -> DataFrame:
     return packets.withColumn("event_time", F.timestamp_micros("now_us"))
 
