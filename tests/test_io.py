@@ -67,7 +67,7 @@ def test_result_files(spark, tmp_path):
     assert [(r.stride_size, r.n) for r in results.latest_histogram(hist).orderBy("stride_size").collect()] == [(1, 7), (2, 0), (3, 9)]
     (tmp_path / "hist.csv").write_text("# stride_size,count\n1,5\n3,9\n# stride_size,count\n1,7\n")
     assert [(r.stride_size, r.n) for r in results.read_stride_csv(spark, str(tmp_path / "hist.csv")).orderBy("stride_size").collect()] == [(1, 7), (2, 0), (3, 9)]
-    stats = results.parse_stats_report(spark.createDataFrame([("~~~~~~ Pktgen ~~~~~~\r\n  TX: 10 pkts 640 bytes\r\n  RX: 9 pkts 576 bytes",)], "report string")).first()
+    stats = results.parse_stats_report(spark.createDataFrame([("~~~~~~ Totals ~~~~~~\r\n  TX: 10 pkts 640 bytes\r\n  RX: 9 pkts 576 bytes",)], "report string")).first()
     assert tuple(stats) == (10, 640, 9, 576)
 
 
