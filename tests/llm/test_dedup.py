@@ -133,6 +133,8 @@ def test_near_dedup_matches_brute_force(spark):
     rows = prob_minhash.class_ids(frame(spark, texts)).collect()
     assert as_partition((r.doc_id, r.class_id) for r in rows) == want
     assert sum(r.kept for r in rows) == len(want)
+    again = prob_minhash.class_ids(frame(spark, texts).repartition(7)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
     kept = prob_minhash.drop_near_copies(frame(spark, texts))
     assert kept.columns == frame(spark, texts).columns and kept.count() == len(want)
 

@@ -237,5 +237,5 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     measure = near_dup.Measure(lambda t: t, edit_similarity, similarity)
     found = written(near_dup.near_classes(written(items, "items"), measure).select("rid", "id", "root"), "class_rows")
-    heads = written(found.where("rid = root").select(F.col("rid").alias("root"), F.col("id").alias("class_id")), "heads")
-    return found.join(heads, "root").select(F.col("id").alias(id_col), "class_id", (F.col("rid") == F.col("root")).alias("kept"))
+    found = near_dup.with_heads(found, ["id"])
+    return found.select(F.col("id").alias(id_col), F.col("head.id").alias("class_id"), (F.col("rid") == F.col("head.rid")).alias("kept"))

@@ -141,6 +141,13 @@ def across(rows: DataFrame, measure: Measure) -> DataFrame:
     return rows.repartition("band", "f", "g").sortWithinPartitions("band", "f", "g").mapInArrow(trimmed(compare), "a long, b long")
 
 
+def with_heads(found: DataFrame, by: list[str]) -> DataFrame:
+    """found (a written table of rows with rid and root) with head, the row of its class that is first by these columns: a
+    struct of them and rid. Which one it is does not depend on how rows were numbered."""
+    heads = written(found.groupBy("root").agg(F.min(F.struct(*by, "rid")).alias("head")), "heads")
+    return found.join(heads, "root")
+
+
 def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     """items (a written table): rid long (unique), key binary, bands array<long>, text string, and more.
 

@@ -84,19 +84,19 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: rid, id, digest and root, the rid of the row that stands for the class."""
+    """One row per row of docs: rid, id, digest and head, the row that stands for its class: the one of the smallest id."""
     items = prepared(docs, id_col, text_col)
-    return near_dup.near_classes(items, near_dup.Measure(shingles.counted, near_dup.probability_jaccard, similarity, sets=True))
+    found = near_dup.near_classes(items, near_dup.Measure(shingles.counted, near_dup.probability_jaccard, similarity, sets=True))
+    return near_dup.with_heads(written(found.select("rid", "id", "digest", "root"), "class_rows"), ["id", "digest"])
 
 
 def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, class_id (the id of the row that stands for the class), kept (whether this row is that one)."""
-    found = written(near_classes(docs, id_col, text_col, similarity).select("rid", "id", "root"), "class_rows")
-    heads = written(found.where("rid = root").select(F.col("rid").alias("root"), F.col("id").alias("class_id")), "heads")
-    return found.join(heads, "root").select(F.col("id").alias(id_col), "class_id", (F.col("rid") == F.col("root")).alias("kept"))
+    found = near_classes(docs, id_col, text_col, similarity)
+    return found.select(F.col("id").alias(id_col), F.col("head.id").alias("class_id"), (F.col("rid") == F.col("head.rid")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class of near copies, with all its columns."""
-    heads = near_classes(docs, id_col, text_col, similarity).where("rid = root").select("digest", F.col("id").alias("keep_id"))
+    heads = near_classes(docs, id_col, text_col, similarity).where("rid = head.rid").select("digest", F.col("id").alias("keep_id"))
     return keep_winners(docs, heads, id_col, text_col)

@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = known.count()
     if n > max_train:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(max_train / n * (1 << 40)))
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(known), "id").select("y", "text")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(known), "id").select("y", "text", F.xxhash64("id", "text").alias("k"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << HASH_BITS), dtype=np.int32)
@@ -168,15 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for first, chunk in _chunks(texts):
                 owner, feature = present(chunk, shared.value)
                 parts = np.split(feature.astype(np.int32), np.searchsorted(owner, np.arange(1, len(chunk))))
-                yield pa.RecordBatch.from_arrays([pa.array([int(v > 0) for v in y[first : first + len(chunk)]], pa.int32()), pa.array(parts, pa.list_(pa.int32()))], ["y", "f"])
-
-    table = rows.mapInArrow(trimmed(select), "y int, f array<int>").toArrow()
-    lists = table.column("f").combine_chunks()
-    lengths = np.diff(lists.offsets.to_numpy()) if isinstance(lists, pa.ListArray) else np.diff(lists.chunk(0).offsets.to_numpy())
-    feature = (lists if isinstance(lists, pa.ListArray) else lists.chunk(0)).flatten().to_numpy()
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.argsort(table.column("y").to_numpy(), kind="stable")  # sums in one order, whatever the order of rows
-    weights, intercept = fit_logistic(owner, feature, scale, table.column("y").to_numpy().astype(float)) if len(order) else (np.zeros(len(scale)), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([int(v > 0) for v in y[first : first + len(chunk)]], pa.int32()), pa.array(parts, pa.list_(pa.int32())), b.column("k").slice(first, len(chunk))], ["y", "f", "k"])
+
+    table = rows.mapInArrow(trimmed(select), "y int, f array<int>, k long").toArrow()
+    table = table.sort_by("k").combine_chunks()  # sums in one order, whatever the order of rows
+    y = table.column("y").to_numpy().astype(float)
+    lists = table.column("f").chunk(0)
+    owner = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    weights, intercept = fit_logistic(owner, lists.flatten().to_numpy(), scale, y)
     return Model(index, weights, intercept)
 
 
