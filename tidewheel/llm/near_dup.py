@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import trimmed, written
+from .common import discard, trimmed, written
 from .components import components
 
 #: Nodes of a bucket that are held in a task at a time, of either side.
@@ -165,6 +165,7 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     wanted = shared.select("node").distinct()
     texts = written(items.join(wanted.hint("merge"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "bands", "text"), "texts")
     links = written(verified(pairs, texts, measure), "verified")
+    discard(pairs)
     roots = components(links)
 
     # buckets of four or more have pairs without an end: those are made where components differ
@@ -173,9 +174,11 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     share = big.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = share.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
     main = written(main, "mains")
+    discard(size, shared)
     if not main.isEmpty():
         late = written(across(big.join(main, "band").join(texts, "node"), measure), "verified")
         if not late.isEmpty():
             roots = components(links.unionByName(late))
     classes = written(reps.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "classes")
+    discard(reps, texts, links, big, main)
     return items.drop("bands", "text").join(classes, "key")

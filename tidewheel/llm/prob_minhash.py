@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dup, shingles
-from .common import keep_winners, sha256_hex, text_or_empty, trimmed, written
+from .common import discard, keep_winners, sha256_hex, text_or_empty, trimmed, written
 from .shingles import mixed
 
 BANDS, ROWS = 18, 5
@@ -87,7 +87,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: rid, id, digest and head, the row that stands for its class: the one of the smallest id."""
     items = prepared(docs, id_col, text_col)
     found = near_dup.near_classes(items, near_dup.Measure(shingles.counted, near_dup.probability_jaccard, similarity, sets=True))
-    return near_dup.with_heads(written(found.select("rid", "id", "digest", "root"), "class_rows"), ["id", "digest"])
+    found = written(found.select("rid", "id", "digest", "root"), "class_rows")
+    discard(items)
+    return near_dup.with_heads(found, ["id", "digest"])
 
 
 def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
