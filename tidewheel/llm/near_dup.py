@@ -163,7 +163,7 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     by_high = shared.where("node < high AND node > low").select(F.col("node").alias("a"), F.col("high").alias("b"))
     pairs = written(by_low.unionByName(by_high).distinct(), "pairs")
     wanted = shared.select("node").distinct()
-    texts = written(items.join(wanted.hint("merge"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "bands", "text"), "texts")
+    texts = written(items.join(wanted.hint("merge"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "text"), "texts")
     links = written(verified(pairs, texts, measure), "verified")
     discard(pairs)
     roots = components(links)
@@ -176,7 +176,8 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     main = written(main, "mains")
     discard(size, shared)
     if not main.isEmpty():
-        late = written(across(big.join(main, "band").join(texts, "node"), measure), "verified")
+        rows = big.join(main, "band").join(texts, "node").join(items.select(F.col("rid").alias("node"), "bands"), "node")
+        late = written(across(rows, measure), "verified")
         if not late.isEmpty():
             roots = components(links.unionByName(late))
     classes = written(reps.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "classes")
