@@ -153,9 +153,8 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
 
     Returns items without bands and text but with root: the smallest rid of the class the item is in.
     """
-    reps = written(items.groupBy("key").agg(F.min("rid").alias("node")), "nodes")
-    at = reps.select("node").hint("merge")
-    banded = items.join(at, F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("band"))
+    reps = written(items.groupBy("key").agg(F.min("rid").alias("node"), F.min("bands").alias("bands")), "nodes")  # one key, one list
+    banded = reps.select("node", F.explode("bands").alias("band"))
     size = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
     size = written(size, "buckets")
     shared = written(banded.join(size, "band"), "shared")
@@ -176,7 +175,7 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     main = written(main, "mains")
     discard(size, shared)
     if not main.isEmpty():
-        rows = big.join(main, "band").join(texts, "node").join(items.select(F.col("rid").alias("node"), "bands"), "node")
+        rows = big.join(main, "band").join(texts, "node").join(reps.select("node", "bands"), "node")
         late = written(across(rows, measure), "verified")
         if not late.isEmpty():
             roots = components(links.unionByName(late))
