@@ -91,6 +91,28 @@ def test_a_clear_mention_decides_a_distant_one(field):
     assert field.added([both], [P.base_spans(both)]) == [[("phone", at, at + 8)]]
 
 
+def test_data_without_a_digit(field):
+    found = lambda t: [(k, t[s:e]) for k, s, e in field.added([t], [P.base_spans(t)])[0]]
+    filler = "orla enti la " * 40
+    assert found(f"{filler} maria.lopez {filler}") == []
+    assert found(f"maria.lopez@mail.com {filler} maria.lopez {filler} Maria.Lopez, {filler}") == [("email", "maria.lopez"), ("email", "Maria.Lopez")]
+    assert found(f"{filler} jane.doe(at)example.com {filler}") == [("email", "jane.doe(at)example.com")]
+    assert found(f"JANE.DOE[AT]EXAMPLE.COM {filler} jane.doe") == [("email", "JANE.DOE[AT]EXAMPLE.COM"), ("email", "jane.doe")]
+    assert found("info@example.com has info for you. and e.g. some.thing") == []  # a mere word is data in an address alone
+    found = missed = wrong = 0
+    for text, true in P.labelled_documents(400, seed=98):
+        base = P.base_spans(text)
+        more = field.added([text], [base])[0]
+        apart = set(field.added([text], [base], whole=True)[0]) - set(more)  # of the words that are no nodes none is data
+        assert not any(x[1] < y[2] and x[2] > y[1] for x in apart for y in true)
+        plain_forms = [x for x in true if not re.search("[0-9@]", text[x[1] : x[2]])]
+        got = [x for x in more if not re.search("[0-9@]", text[x[1] : x[2]])]
+        hit = [any(x[0] == y[0] and x[1] < y[2] and x[2] > y[1] for y in more) for x in plain_forms]
+        found, missed = found + sum(hit), missed + len(hit) - sum(hit)
+        wrong += sum(not any(x[0] == y[0] and x[1] < y[2] and x[2] > y[1] for y in true) for x in got)
+    assert found > 30 and missed <= 0.1 * found and wrong <= 0.05 * found
+
+
 def test_documents(spark, field):
     texts = ["mail a.b@c.de now", "é 10.0.0.1 and 4111 1111 1111 1111", "+1 (578) 555-6437 4918187128635271 er", "no data", "", None]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, base string, n_ip int")

@@ -1,7 +1,10 @@
 """Personal data: fixed patterns, and spans that a skip-chain conditional random field adds.
 
 The base spans are the matches of four patterns (email, ip, card, phone) with their checks. The field labels tokens, runs of
-characters other than white space, that hold a digit or an at sign; all other tokens are outside. Its potentials are the shape
+characters other than white space, and is trained on all of them. Decoding makes nodes of the tokens that hold a digit, an at
+sign or a written one, and of every word that has a key in common with one of them; the words left share no key with such a
+token, and stand beside its neighbours as outside (with nodes of them too, see ``whole``, only words that repeat and
+confirm each other would be added). Its potentials are the shape
 of a token and of the words beside it (a base match is such a feature), the labels of neighbours in a row, and skip links: the
 occurrences of one key in a document (the same token, the local part of an address, the last seven digits of a number), each
 linked to the next, however far. Loopy message passing over rows and skip links spreads what is clear at one occurrence to
@@ -9,7 +12,7 @@ the others. Tokens labelled as data that no base span touches become spans; neig
 
 The field is trained on documents made by ``labelled_documents`` by pseudo-likelihood, on the driver; N_TRAIN bounds it.
 
-Rules: null text counts as empty; a text without digits and at signs has no spans; rows are independent of each other. No rows
+Rules: null text counts as empty; a text without digits and at signs (also written ones) has no spans; rows are independent of each other. No rows
 give no rows. Other columns are ignored. Positions count code points, the end is exclusive.
 """
 
@@ -20,6 +23,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from dataclasses import field as made
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SOME = re.compile(r"[0-9@]")
+_WRITTEN = re.compile(r"[(\[]at[)\]]", re.I)
+_AT = re.compile(r"@|[(\[]at[)\]]", re.I)
+_NODE = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
 _TOKEN = re.compile(r"\S+")
 _OUTER = "\"'`.,;:!?()[]{}<>*#$%&|=~^_/\\“”«»…-"
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -88,20 +95,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Graph:
-    """The tokens of a text that are labelled, with their features and links."""
+    """The tokens of a text that are labelled, with their features and links. beside: how many words that are no nodes stand
+    right before and right after each (none where it is empty)."""
 
     spans: list[tuple[int, int]]
     features: list[list[str]]
     base: list[bool]
     near: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    beside: list[list[int]] = made(default_factory=list)
 
 
 def _shape(word: str) -> list[str]:
     n = len(d := digits(word))
     letters = sum(c.isalpha() for c in word)
     out = ["bias", f"digits:{n if n < 8 else 8 if n < 10 else n if n < 12 else '12-19' if n <= 19 else 'many'}", f"letters:{min(4, letters.bit_length())}"]
-    form = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d]+", "a", word))
+    form = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", word))
     out.append(f"form:{form if len(form) <= 9 else 'long'}")
     if 12 <= n <= 19 and n == len(word.replace("-", "")):
         out.append(f"luhn:{luhn(d)}")
@@ -110,25 +119,36 @@ def _shape(word: str) -> list[str]:
         out.append(f"four parts:{all(int(p[-4:]) <= 255 for p in parts if p)}")
     if "@" in word:
         out.append("at sign")
-    if re.search(r"[(\[]at[)\]]", word):
+    if _WRITTEN.search(word):
         out.append("written at")
     return out
 
 
-def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
+def _local(word: str) -> str:
+    return _AT.split(word, maxsplit=1)[0].strip(_OUTER).lower()
+
+
+def graph(text: str, base: list[tuple[str, int, int]], whole: bool = False) -> Graph:
+    """whole: every token is a node."""
     g = Graph([], [], [], [], [])
     last: dict[str, int] = {}
     links = set()
-    before, open_, nth, last_nth = "", None, 0, -1
+    before, open_, nth, last_nth, word_nth = "", None, 0, -1, -1
     spans = sorted((s, e, k) for k, s, e in base)
+    locals_ = {_local(m[0].strip(_OUTER)) for m in _TOKEN.finditer(text) if _AT.search(m[0])} - {""} if _AT.search(text) else set()
     for m in _TOKEN.finditer(text):
         raw, word = m[0], m[0].strip(_OUTER)
         nth += 1
         if open_ is not None:
             g.features[open_].append(f"next:{'number' if _SOME.search(raw) else 'word'}")
             open_ = None
-        if not word or not _SOME.search(word):
-            before = word.lower() if len(word) < 12 else ""
+        lower = word.lower()
+        if not word or not (whole or _NODE.search(word) or lower in locals_):
+            if word:
+                word_nth = nth
+                if last_nth == nth - 1:
+                    g.beside[-1][1] = 1
+            before = lower if len(word) < 12 else ""
             continue
         i = len(g.spans)
         start = m.start() + raw.index(word)
@@ -139,13 +159,14 @@ def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
         form = ["parenthesis"] if raw.startswith("(") and ")" in raw else []
         g.spans.append((start, end))
         g.base.append(bool(kinds))
+        g.beside.append([int(word_nth == nth - 1), 0])
         g.features.append([*_shape(word), *form, *(f"base:{k}" for k in sorted(kinds)), *([f"base:{'some' if kinds else 'none'}"]), f"before:{before if before in CUES else 'number' if before == '9' else 'word'}"])
         if last_nth == nth - 1:
             g.near.append((i - 1, i))
         last_nth = nth
-        keys = {f"w:{word.lower()}"}
-        if "@" in word:
-            keys.add("w:" + word.split("@")[0].lower())
+        keys = {f"w:{lower}"}
+        if _AT.search(word) and (local := _local(word)):
+            keys.add("w:" + local)
         d = digits(word)
         if len(d) >= 7 and not any(c.isalpha() for c in word):
             keys.add("d:" + d[-7:])
@@ -153,7 +174,7 @@ def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
             if key in last:
                 links.add((last[key], i))
             last[key] = i
-        before, open_ = "9", i
+        before, open_ = "9" if _SOME.search(word) else lower if len(word) < 12 else "", i
     g.skip = sorted(links)
     return g
 
@@ -179,6 +200,8 @@ class Field:
         known = feature >= 0
         unary = np.zeros((sum(sizes), k))
         np.add.at(unary, node[known], self.unary[feature[known]])
+        beside = np.array([x for g in graphs for x in (g.beside or [[0, 0]] * len(g.spans))]).reshape(-1, 2)
+        unary += beside[:, :1] * self.near[0] + beside[:, 1:] * self.near[:, 0]
         links = {n: np.array([(b + i, b + j) for b, g in zip(begin, graphs, strict=True) for i, j in getattr(g, n)], dtype=np.int64).reshape(-1, 2) for n in ("near", "skip")}
         a = np.concatenate([links["near"][:, 0], links["skip"][:, 0]])
         b = np.concatenate([links["near"][:, 1], links["skip"][:, 1]])
@@ -197,9 +220,9 @@ class Field:
             np.add.at(total, target, message)
         return total - np.logaddexp.reduce(total, axis=1, keepdims=True)
 
-    def added(self, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+    def added(self, texts: list[str], base: list[list[tuple[str, int, int]]], whole: bool = False) -> list[list[tuple[str, int, int]]]:
         """The spans beside the base spans of each text."""
-        graphs = [graph(t, s) if _SOME.search(t) else Graph([], [], [], [], []) for t, s in zip(texts, base, strict=True)]
+        graphs = [graph(t, s, whole) if whole or _NODE.search(t) else Graph([], [], [], [], []) for t, s in zip(texts, base, strict=True)]
         out: list[list[tuple[str, int, int]]] = []
         label = self.beliefs(graphs).argmax(axis=1) if any(g.spans for g in graphs) else np.zeros(0, dtype=int)
         at = 0
@@ -225,7 +248,7 @@ def fit(documents: list[tuple[str, list[tuple[str, int, int]]]], penalty: float
     k = len(LABELS)
     graphs, truth = [], []
     for text, spans in documents:
-        g = graph(text, base_spans(text))
+        g = graph(text, base_spans(text), whole=True)
         graphs.append(g)
         truth += [next((LABELS.index(n) for n, s, e in spans if s < end and e > start), 0) for start, end in g.spans]
     y = np.array(truth)
@@ -267,7 +290,7 @@ def labelled_documents(n: int, seed: int = 0) -> list[tuple[str, list[tuple[str,
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("en", "ti", "la", "or", "ou", "ch", "st", "ma")) for _ in range(rng.randrange(1, 4)))
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    some = lambda: word() + rng.choice((f".{num(2)}", num(2), "." + word(), "_" + word() + num(1)))
+    some = lambda: word() + rng.choice((f".{num(2)}", num(2), "." + word(), "." + word(), "_" + word(), "_" + word() + num(1), ""))
 
     hex_ = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
 
@@ -284,8 +307,9 @@ def labelled_documents(n: int, seed: int = 0) -> list[tuple[str, list[tuple[str,
         """A kind, and its forms; the last ones are data only beside the first."""
         kind = rng.choice(KINDS)
         if kind == "email":
-            local, host = some(), f"mail{num(1)}.{word()}.{rng.choice(('com', 'org', 'net'))}"
-            return kind, [f"{local}@{host}", f"{local}(at){host}", f"{local}[at]{host}", local]
+            local, host = some(), f"{rng.choice((f'mail{num(1)}.', ''))}{word()}.{rng.choice(('com', 'org', 'net'))}"
+            forms = [f"{local}@{host}", f"{local}(at){host}", f"{local}[at]{host}"]
+            return kind, forms if local.isalpha() else [*forms, local]  # a mere word is data in an address alone
         if kind == "ip":
             p = [str(rng.randrange(256)) for _ in range(4)]
             return kind, [".".join(p), "[.]".join(p), "(.)".join(p)]
@@ -312,6 +336,8 @@ def labelled_documents(n: int, seed: int = 0) -> list[tuple[str, list[tuple[str,
                 no_card,
                 lambda: f"{num(3)}-{num(4)}",
                 lambda: f"{word()}{num(2)}",
+                lambda: f"{word()}{rng.choice('._')}{word()}",
+                lambda: f"{word()}.{rng.choice(('com', 'org', 'net'))}",
                 lambda: f"{num(2)}%",
                 lambda: f"${num(3)}.{num(2)}",
                 lambda: f"@{word()}",
@@ -330,6 +356,10 @@ def labelled_documents(n: int, seed: int = 0) -> list[tuple[str, list[tuple[str,
                 insert.append((forms[0], kind))
             alone = forms[1:] if lead else [f for f in forms[1:] if len(digits(f)) != 7 and (kind != "email" or "at" in f and ("(" in f or "[" in f))]
             insert += [(rng.choice(forms[:1] + alone if lead else alone or forms[:1]), kind) for _ in range(rng.randrange(3))]
+            if kind == "email" and not lead and len(forms) == 4:
+                insert = [x for x in insert if x[0] not in forms] + [(rng.choice(forms[1:3]), kind)] + [(forms[3], kind)] * rng.choice((0, 0, 1, 2))
+            if kind == "email" and len(forms) == 3:
+                insert += [(forms[0].split("@")[0], None)] * rng.randrange(3)
         insert += [(noise(), None) for _ in range(rng.randrange(4))]
         for form, kind in insert:
             at = rng.randrange(len(pieces) + 1)
