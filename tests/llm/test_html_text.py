@@ -45,6 +45,18 @@ def test_blocks_of_odd_html():
     assert text("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_only_raw_and_apart_elements_lose_their_text():
+    text = lambda page: [b.text for b in H.blocks(page)]
+    assert text('<p>one</p><svg class="i"/><p>two</p>') == ["one", "two"]
+    assert text('<p>one</p><svg class="i"><style/><path d="x"/></svg><p>two</p>') == ["one", "two"]
+    assert text("<p>one <math-x>new</math-x> <video-player src=a> two<p>three") == ["one new two", "three"]
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then") == ["if x=1 then"]
+    assert text("<p>one<video src=a><p>two<video>no <b>player</video> x<p>three") == ["one", "two x", "three"]
+    assert text("<p>a<object><p>b<object>c</object>d</object>e<select><option>f</select>g") == ["aeg"]
+    assert text("<title>t</title><script>a</script\n><p>x<SCRIPT>'</scripty>'</SCRIPT>y<template/>z") == ["xyz"]
+    assert text("<video>" * 3000 + "<p>x" + "<iframe src=a></iframe>" * 3000) == ["x"]
+
+
 def test_extract(spark, field):
     article = "<article><h1>Title &lt;1&gt;</h1><p>One  two\nthree.</p><div class=ad>buy now.</div><p>Four five six seven eight nine.</p></article>"
     page = f"<html><head><title>t</title></head><body><nav><ul><li><a href=x>home</a></li><li><a href=y>all</a></li></ul></nav>{article}<section class='comments'><p>I do not agree at all.</p></section><footer>&copy; us</footer></body></html>"

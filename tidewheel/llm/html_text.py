@@ -7,6 +7,10 @@ the page). Two labels, article and rest, are decoded by Viterbi; the article's b
 Training pages are made by ``labelled_pages``: layouts of many kinds with invented words, whose blocks carry their label. The
 fit takes N_TRAIN pages, on the driver; no page of the input is used.
 
+Text is left out of two kinds of elements alone. RAW elements hold no tags and end at their end tag or with the page, as in
+browsers (within svg and math also at '/>'). APART elements, which browsers show in another way or not at all, are left out
+from the start tag to the end tag that matches it; where none does, their text stays. Text of svg, math and unknown elements stays.
+
 Rules: null html counts as empty and gives an empty text; unclosed tags, comments and scripts end as browsers end them; white
 space (also no-break space) inside a block becomes one space and a line break tag is white space. Repeated rows give equal
 rows. No rows give no rows. Other columns are ignored.
@@ -36,7 +40,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = "script style noscript template textarea select iframe svg math title object video audio canvas noembed noframes"
+RAW = frozenset("script style noscript textarea iframe title noembed noframes".split())
+APART = frozenset("template select object video audio canvas annotation annotation-xml desc metadata".split())
 CLOSES = {
     "li": ("li", frozenset("ul ol menu dir".split())),
     "dt": ("dt dd", frozenset(["dl"])),
@@ -47,9 +52,11 @@ CLOSES = {
 }
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + UNSEEN.replace(" ", "|") + r""")\b(?:[^>"']|"[^"]*"|'[^']*')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for x in RAW}
+_HAS_APART = re.compile(r"<(?:" + "|".join(sorted(APART)) + r")[\s/>]", re.I)
 _NAMES = re.compile(r"""\b(class|id|role|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -70,6 +77,43 @@ class _Open:
         self.tag, self.features, self.label, self.link = tag, features, label, link
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, tag (in lower case; empty: a comment, a raw element or no tag), whether it is an end tag, attributes."""
+    at, foreign = 0, 0
+    while m := _TOKEN.search(page, at):
+        at, tag, attrs = m.end(), (m["tag"] or "").lower(), m["attrs"] or ""
+        closed = attrs.endswith("/")
+        if tag in ("svg", "math"):
+            foreign = max(0, foreign - 1) if m["end"] else foreign + (not closed)
+        if tag in RAW and not m["end"] and (not attrs or attrs[0] == "/" or attrs[0].isspace()):
+            if not (closed and foreign):
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+            tag = ""
+        yield m.start(), at, tag, bool(m["end"]), attrs
+
+
+def _without_apart(tokens: list[tuple[int, int, str, bool, str]]) -> Iterator[tuple[int, int, str, bool, str]]:
+    """The tokens with one for each element of APART that has its end tag."""
+    opened: dict[str, list[int]] = {x: [] for x in APART}
+    whole: dict[int, int] = {}
+    for i, (_, _, tag, is_end, attrs) in enumerate(tokens):
+        if tag in APART:
+            if is_end:
+                if opened[tag]:
+                    whole[opened[tag].pop()] = i
+            elif not attrs.endswith("/"):
+                opened[tag].append(i)
+    i = 0
+    while i < len(tokens):
+        if i in whole:
+            yield tokens[i][0], tokens[whole[i]][1], "", False, ""
+            i = whole[i]
+        else:
+            yield tokens[i]
+        i += 1
+
+
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in order."""
     top = _Open("", frozenset(), None, False)
@@ -86,21 +130,19 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(piece := page[at : m.start()])
+    for start, end, tag, is_end, attrs in _without_apart(list(_tokens(page))) if _HAS_APART.search(page) else _tokens(page):
+        if start > at:
+            parts.append(piece := page[at:start])
             if stack[-1].link:
                 linked += len(piece)
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-        if m["end"]:
+        if is_end:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -123,13 +165,13 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i].tag in scope:
                     break
-        if tag in VOID or m["attrs"].endswith("/"):
+        if tag in VOID or attrs.endswith("/"):
             continue
         above = stack[-1]
         features, label = above.features, above.label
         if tag in BLOCKS:
             own = {f"in:{tag}"}
-            for name, value in _NAMES.findall(m["attrs"]):
+            for name, value in _NAMES.findall(attrs):
                 if name.lower() == "data-label":
                     label = int(value.strip("\"'"))
                 else:
