@@ -57,6 +57,14 @@ def test_only_raw_and_apart_elements_lose_their_text():
     assert text("<video>" * 3000 + "<p>x" + "<iframe src=a></iframe>" * 3000) == ["x"]
 
 
+def test_labels_of_input_pages_are_no_labels(spark, field):
+    page = '<article><p>One two three four five.</p><table><tr><td data-label="Price">seven euros</td></tr></table><p data-tidewheel-article="x">Six.</p></article>'
+    assert H.main_text(field, page) == H.main_text(field, page.replace(' data-label="Price"', "").replace(' data-tidewheel-article="x"', ""))
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert "seven euros" in H.extract(df, field).first().text
+    assert {b.label for b in H.blocks(page)} == {None}
+
+
 def test_extract(spark, field):
     article = "<article><h1>Title &lt;1&gt;</h1><p>One  two\nthree.</p><div class=ad>buy now.</div><p>Four five six seven eight nine.</p></article>"
     page = f"<html><head><title>t</title></head><body><nav><ul><li><a href=x>home</a></li><li><a href=y>all</a></li></ul></nav>{article}<section class='comments'><p>I do not agree at all.</p></section><footer>&copy; us</footer></body></html>"

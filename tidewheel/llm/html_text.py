@@ -51,13 +51,16 @@ CLOSES = {
     "th": ("td th", frozenset("tr table".split())),
 }
 
+#: The attribute that training pages carry their labels in; decoding never looks at labels.
+LABEL = "data-tidewheel-article"
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
 _RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for x in RAW}
 _HAS_APART = re.compile(r"<(?:" + "|".join(sorted(APART)) + r")[\s/>]", re.I)
-_NAMES = re.compile(r"""\b(class|id|role|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role|data-tidewheel-article)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -172,8 +175,8 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCKS:
             own = {f"in:{tag}"}
             for name, value in _NAMES.findall(attrs):
-                if name.lower() == "data-label":
-                    label = int(value.strip("\"'"))
+                if name.lower() == LABEL:
+                    label = {"0": 0, "1": 1}.get(value, label)
                 else:
                     own.update(f"word:{w}" for w in _WORD.findall(value.lower()))
             features = features | own
@@ -272,7 +275,7 @@ def fit(pages: list[list[Block]], penalty: float = PENALTY, rounds: int = 80) ->
 
 
 def labelled_pages(n: int, seed: int = 0) -> list[str]:
-    """Pages of varied layouts with invented words; data-label of the nearest element says 1 for the article, 0 for the rest."""
+    """Pages of varied layouts with invented words; LABEL of the nearest element says 1 for the article, 0 for the rest."""
     rng = random.Random(seed)
     some = lambda a, b: " ".join("".join(rng.choice(("en", "ti", "la", "or", "ou", "ch", "é", "st", "ma", "ble")) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(a, b)))
     sentence = lambda a, b: some(a, b).capitalize() + rng.choice("...?!")
@@ -296,7 +299,7 @@ def labelled_pages(n: int, seed: int = 0) -> list[str]:
             "share": (rng.choice(("div", "ul")), ("share", "social", "tags", "meta", "pagination"), links(2, 5)),
         }[kind]
         bare = tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.6
-        return f"<{tag} {'' if bare else named(*words)} data-label=0>{inner}</{tag}>"
+        return f"<{tag} {'' if bare else named(*words)} {LABEL}=0>{inner}</{tag}>"
 
     def article() -> str:
         out = [f"<h1>{some(3, 12)}</h1>"] if rng.random() < 0.8 else []
@@ -333,13 +336,13 @@ def labelled_pages(n: int, seed: int = 0) -> list[str]:
     for _ in range(n):
         kind = rng.random()
         if kind < 0.55:
-            body = f"<article data-label=1>{article()}</article>"
+            body = f"<article {LABEL}=1>{article()}</article>"
         elif kind < 0.7:
-            body = f"<main data-label=1>{article()}</main>"
+            body = f"<main {LABEL}=1>{article()}</main>"
         elif kind < 0.9:
-            body = f"<div {named('content', 'post', 'entry', 'story', 'article-body', 'main-text')} data-label=1>{article()}</div>"
+            body = f"<div {named('content', 'post', 'entry', 'story', 'article-body', 'main-text')} {LABEL}=1>{article()}</div>"
         else:
-            body = f"<div data-label=1>{article()}</div>"
+            body = f"<div {LABEL}=1>{article()}</div>"
         if rng.random() < 0.25:
             body = f'<div class="{rng.choice(("wrapper", "container", "page"))}">{body}{rest("side")}</div>'
         before = [rest(x) for x in ("header", "menu", "notice", "advert", "form") if rng.random() < 0.45]
