@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import components, exact_dedup, near_dup, paragraphs, prob_minhash, shingles
+from tidewheel.llm import components, exact_dedup, near_dup, paragraphs, prob_minhash, queries, shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, key int, root string, rid long"
 
@@ -200,3 +200,12 @@ def test_paragraphs_match_brute_force(spark):
     gone = {(r.doc_id, r.line) for r in rows if r.removed}
     assert left == {i: "\n".join(p for k, p in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
     assert paragraphs.paragraph_classes(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_short_paragraphs_take_part_in_the_query(spark, tmp_path):
+    texts = ["Read more\n\n---\none two three four five", "read  more!\n \n***", "---\nread\n\none two three four five", None]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r.doc_id, r.line): ((r.class_id, r.class_line), r.removed) for r in queries.QUERIES["op1_paragraph_dedup"](spark, str(tmp_path)).collect()}
+    copies = {(1, 0): (0, 0), (2, 0): (0, 2), (2, 3): (0, 3)}
+    places = [(i, k) for i, t in enumerate(texts) for k in range(len((t or "").split("\n")))]
+    assert rows == {x: (copies.get(x, x), x in copies) for x in places}

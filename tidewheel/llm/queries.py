@@ -19,7 +19,7 @@ def query(f):
 
 @query
 def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compact(paragraphs.paragraph_classes(load(spark, sf_dir, "documents")))
+    return compact(paragraphs.paragraph_classes(load(spark, sf_dir, "documents"), min_words=0))
 
 
 @query
