@@ -3,7 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tidewheel.llm import edit_embedding as E
+from tidewheel.llm import near_dup
 
 from .test_dedup import classes_of
 
@@ -100,3 +103,28 @@ def test_near_classes(spark):
     assert sum(rows[i] == rows[j] for i, j in links) >= 0.95 * len(links)
     true = dict(enumerate(classes_of(len(raw), links)))
     assert len({(rows[i], true[i]) for i in rows}) == len(set(rows.values()))  # no class joins texts that are not linked
+
+
+def test_bands_are_common_at_any_place():
+    bands = lambda *x: np.array(x, dtype=np.int64)
+    measure = near_dup.Measure(lambda t: t, lambda a, b: 1.0, 0.8)
+    few = [(1, 1, True, bands(5, 7, 9), "x")]
+    rest = [(2, 2, False, bands(7), "y"), (3, 3, False, bands(9, 8, 7, 6), "z"), (4, 4, False, bands(7, 5), "in band 5"), (5, 1, False, bands(7), "linked")]
+    assert sorted(near_dup.compare_block(measure, 7, few, rest)) == [(1, 2), (1, 3)]
+    assert sorted(near_dup.compare_block(measure, 5, few, rest[2:3])) == [(1, 4)]
+
+
+def test_near_classes_with_a_common_head_on_two_levels(spark):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    head, texts = some(260), []
+    for n in (60, 75, 80, 85, 420, 425, 440):  # lengths on both sides of a power of two
+        tail = some(n)
+        texts += [head + tail, head + tail[: n // 2] + "x" + tail[n // 2 :], head + tail + some(25)]
+    texts += [head + some(n) for n in (80, 500, 900, 1500)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if E.edit_similarity(texts[i], texts[j]) >= 0.8]
+    assert len({len(E.bands_of(f)) for f in E.fingerprints(texts)}) > 1
+    rows = {r.doc_id: r.class_id for r in E.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(rows[i] == rows[j] for i, j in links) >= 0.95 * len(links)
+    true = dict(enumerate(classes_of(len(texts), links)))
+    assert len({(rows[i], true[i]) for i in rows}) == len(set(rows.values()))

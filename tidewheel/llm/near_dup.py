@@ -4,7 +4,8 @@ Items with the same content key are one node, so copies cost a row. Of the nodes
 compared with the smallest and the largest of them; verified pairs are linked and components taken. In a bucket whose
 nodes are still in several components, every node outside its largest component is then compared with all nodes of
 the others, so every pair that shares a band key is either compared or already in one class. That is done block by
-block within tasks, which return links alone; a pair of several common bands is compared in the first of them.
+block within tasks, which return links alone; a pair of several common bands is compared in the smallest key of them.
+Lists of bands may have any length and order.
 """
 
 from __future__ import annotations
@@ -85,17 +86,21 @@ def verified(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
 
 def compare_block(measure: Measure, band: int, few: list[tuple], rest: list[tuple]) -> Iterator[tuple[int, int]]:
     """Links between rows (node, root, is_few, bands, features) of few and of rest in different components that have no
-    earlier band in common than this one. A pair of two few rows is left to the smaller one."""
+    smaller band key in common than this one. A pair of two few rows is left to the smaller one."""
     node, root = np.array([x[0] for x in rest]), np.array([x[1] for x in rest])
-    is_few, bands = np.array([x[2] for x in rest], dtype=bool), np.stack([x[3] for x in rest])
+    is_few = np.array([x[2] for x in rest], dtype=bool)
+    before = [x[3][x[3] < band] for x in rest]
+    owner, before = np.repeat(np.arange(len(rest)), [len(x) for x in before]), np.concatenate(before)
     if measure.sets:
         sizes = np.array([len(x[4][0]) for x in rest])
         keys, place = np.unique(np.concatenate([x[4][0] for x in rest]), return_inverse=True)
         weight = np.concatenate([x[4][1] / x[4][1].sum() for x in rest])
         at = np.cumsum(sizes) - sizes
     for n, r, _, own, features in few:
-        same = bands == own
-        fit = (root != r) & (~is_few | (node > n)) & (own[same.argmax(axis=1)] == band)
+        fit = (root != r) & (~is_few | (node > n))
+        if not fit.any():
+            continue
+        fit[owner[np.isin(before, own[own < band])]] = False
         if measure.sets and fit.any():
             found = np.isin(keys, features[0])
             share = np.add.reduceat(weight * found[place], at)
