@@ -173,39 +173,76 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def brute_paragraphs(texts, least=paragraphs.MIN_PASSAGE):
+    """{(document, line, piece): (place that stays, removed)} by comparing all pairs."""
+    flat = [(i, k, j, p) for i, t in enumerate(texts) for k, line in enumerate(paragraphs.pieces(t or "")) for j, p in enumerate(line)]
+    sets = [shingles.counted(p) for *_, p in flat]
+    same = [tuple(shingles.word_hashes([p])[0].tolist()) or p.strip() for *_, p in flat]
+    n = [len(shingles.word_hashes([p])[0]) for *_, p in flat]
+    near = lambda i, j: min(n[i], n[j]) >= paragraphs.MIN_BANDED and near_dup.jaccard(sets[i], sets[j]) >= 0.8
+    head = classes_of(len(flat), [(i, j) for i in range(len(flat)) for j in range(i) if same[i] and (same[i] == same[j] or near(i, j))])
+    first = {}
+    for x, h in enumerate(head):
+        first.setdefault(h, x)
+    out, x = {}, 0
+    while x < len(flat):
+        if first[head[x]] == x:
+            out[flat[x][:3]] = (flat[x][:3], False)
+            x += 1
+            continue
+        end = x
+        while end < len(flat) and flat[end][0] == flat[x][0] and first[head[end]] != end:
+            end += 1
+        for y in range(x, end):
+            out[flat[y][:3]] = (flat[first[head[y]]][:3], sum(n[x:end]) >= least)
+        x = end
+    return out
+
+
 def test_paragraphs_match_brute_force(spark):
     rng = random.Random(4)
-    pool = [words(rng, rng.choice([2, 4, 5, 7, 8, 9, 60, 120])) for _ in range(30)]
+    pool = [words(rng, rng.choice([2, 4, 5, 7, 8, 13, 60, 120])) for _ in range(30)]
     texts = []
     for _ in range(40):
         lines = []
-        for _ in range(rng.randrange(1, 5)):
+        for _ in range(rng.randrange(1, 6)):
             w = list(rng.choice(pool))
             for _ in range(rng.choice([0, 0, 1, 4])):
                 w[rng.randrange(len(w))] = "zz" + str(rng.randrange(9))
-            lines.append(" ".join(w))
-        texts.append("\n".join(lines))
-    texts += ["", None, "\n\n"]
-    flat = [(i, k, p) for i, t in enumerate(texts) for k, p in enumerate((t or "").split("\n"))]
-    sets = [shingles.counted(p) for _, _, p in flat]
-    n = [len(p.split()) for _, _, p in flat]
-    # a text of fewer words than a shingle has one shingle, so equality of sets is equality of words
-    links = [(i, j) for i in range(len(flat)) for j in range(i) if n[i] >= 5 and n[j] >= 5 and near_dup.jaccard(sets[i], sets[j]) >= 0.8]
-    want = as_partition(enumerate(classes_of(len(flat), links)))
-    place = {(i, k): x for x, (i, k, _) in enumerate(flat)}
-    rows = paragraphs.paragraph_classes(frame(spark, texts)).collect()
-    assert as_partition((place[r.doc_id, r.line], (r.class_id, r.class_line)) for r in rows) == want
-    assert sum(not r.removed for r in rows) == len(want)
+            lines.append(" ".join(w) + rng.choice([".", "! ", ""]))
+        texts.append("".join(p + rng.choice(["\n", " "]) for p in lines))
+    texts += ["", None, "\n\n", texts[0], texts[0], "A b. " * 20_000]
+    want = brute_paragraphs(texts[:-1])
+    rows = paragraphs.paragraph_classes(frame(spark, texts[:-1])).collect()
+    assert {(r.doc_id, r.line, r.piece): ((r.class_id, r.class_line, r.class_piece), r.removed) for r in rows} == want
+    assert any(r.removed for r in rows) and any(not r.removed and r.doc_id != r.class_id for r in rows)
     left = {r.doc_id: r.text for r in paragraphs.without_copies(frame(spark, texts)).collect()}
-    gone = {(r.doc_id, r.line) for r in rows if r.removed}
-    assert left == {i: "\n".join(p for k, p in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
+    for i, t in enumerate(texts[:-1]):
+        lines = [(x, [p for j, p in enumerate(x) if not want[i, k, j][1]]) for k, x in enumerate(paragraphs.pieces(t or ""))]
+        assert left[i] == "\n".join("".join(some) for x, some in lines if some)
+    assert left[len(texts) - 1].strip() == "A b. A b. A b."  # the pieces of one long text are copies of its first
     assert paragraphs.paragraph_classes(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_short_paragraphs_take_part_in_the_query(spark, tmp_path):
+def test_a_passage_within_lines_is_found(spark):
+    rng = random.Random(9)
+    sentence = lambda: " ".join(words(rng, rng.randrange(5, 14))) + "."
+    passage = " ".join(sentence() for _ in range(7))
+    inside = [f"{sentence()[:-1]} {' '.join(words(rng, 3))} {passage} {' '.join(words(rng, 5))} {sentence()}" for _ in range(6)]
+    other = [f"{sentence()} Shared words of any page here. {sentence()}" for _ in range(6)]
+    rows = paragraphs.paragraph_classes(frame(spark, inside + other)).where("removed").select("doc_id").distinct().collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5}
+
+
+def test_pieces_join_to_the_line():
+    text = "One two. Three four five six! seven\n\nNo end here\nA. B. C. d e f g h. tail"
+    assert ["".join(x) for x in paragraphs.pieces(text)] == text.split("\n")
+    assert paragraphs.pieces(text)[0] == ["One two. Three four five six! ", "seven"]
+
+
+def test_short_pieces_have_classes_and_stay(spark, tmp_path):
     texts = ["Read more\n\n---\none two three four five", "read  more!\n \n***", "---\nread\n\none two three four five", None]
     frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    rows = {(r.doc_id, r.line): ((r.class_id, r.class_line), r.removed) for r in queries.QUERIES["op1_paragraph_dedup"](spark, str(tmp_path)).collect()}
-    copies = {(1, 0): (0, 0), (2, 0): (0, 2), (2, 3): (0, 3)}
-    places = [(i, k) for i, t in enumerate(texts) for k in range(len((t or "").split("\n")))]
-    assert rows == {x: (copies.get(x, x), x in copies) for x in places}
+    rows = {(r.doc_id, r.line, r.piece): ((r.class_id, r.class_line, r.class_piece), r.removed) for r in queries.QUERIES["op1_paragraph_dedup"](spark, str(tmp_path)).collect()}
+    assert rows == brute_paragraphs(texts)
+    assert rows[1, 0, 0] == ((0, 0, 0), False) and rows[2, 0, 0] == ((0, 2, 0), False)

@@ -13,8 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of input for each partition of a written table.
-FILE_INPUT = 64 << 20
+#: A key is hot when it holds at least this share of all rows, so at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 1 / 1024
 
 _shipped: set[str] = set()
 
@@ -45,11 +45,17 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """df in fewer partitions where it has many small ones: one for each FILE_INPUT bytes of input, at least one for each core.
+    """df in fewer partitions where a scan without a shuffle has many small ones: one for each spark.sql.files.maxPartitionBytes
+    of input, at least one for each core.
 
-    So a small input does not end in hundreds of files, and a task's share does not grow with the input.
+    So many small files do not end in as many small ones, and a task's share stays that of a scan. Behind a shuffle the
+    partitions are those that adaptive execution has sized by bytes, and stay as they are.
     """
-    return df.coalesce(int(min(max(df.sparkSession.sparkContext.defaultParallelism, input_bytes(df) // FILE_INPUT), 1 << 30)))
+    execution = df._jdf.queryExecution()
+    if "Exchange " in execution.executedPlan().toString().replace("BroadcastExchange ", ""):
+        return df
+    each = int(execution.sparkSession().sessionState().conf().filesMaxPartitionBytes())
+    return df.coalesce(int(min(max(df.sparkSession.sparkContext.defaultParallelism, input_bytes(df) // each), 1 << 30)))
 
 
 def release(spark: SparkSession) -> None:
@@ -124,6 +130,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows joined with table (one row per key) on key, inner or left; count, a column of table, says how many rows have its key.
+
+    Rows of hot keys look theirs up in a broadcast of at most 1 / HOT_SHARE rows, all others by sort-merge join, so no key
+    sends a large share of all rows to one task.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(count) >= max(2, int(total * HOT_SHARE) + 1)))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.hint("merge"), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def keep_winners(docs: DataFrame, winners: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs named by winners (digest, keep_id), each once, with the columns of docs.
 

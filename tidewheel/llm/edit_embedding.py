@@ -236,6 +236,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     items = narrow.mapInArrow(trimmed(sign), f"id {kind}, key binary, bands array<long>, text string").withColumn("rid", F.monotonically_increasing_id())
 
     measure = near_dup.Measure(lambda t: t, edit_similarity, similarity)
-    found = written(near_dup.near_classes(written(items, "items"), measure).select("rid", "id", "root"), "class_rows")
+    found = written(near_dup.near_classes(written(items, "items"), measure).select("rid", "id", F.coalesce("root", "rid").alias("root")), "class_rows")
     found = near_dup.with_heads(found, ["id"])
     return found.select(F.col("id").alias(id_col), F.col("head.id").alias("class_id"), (F.col("rid") == F.col("head.rid")).alias("kept"))

@@ -17,10 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, keep_winners, sha256_hex, shuffle_partitions
-
-#: A digest is hot when it holds at least this share of a batch, so at most 1 / HOT_SHARE digests are.
-HOT_SHARE = 1 / 1024
+from .common import HOT_SHARE, fresh_path, keep_winners, sha256_hex, shuffle_partitions
 
 
 class DigestIndex:

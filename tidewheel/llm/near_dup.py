@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import discard, trimmed, written
+from .common import discard, join_hot, trimmed, written
 from .components import components
 
 #: Nodes of a bucket that are held in a task at a time, of either side.
@@ -148,17 +148,20 @@ def across(rows: DataFrame, measure: Measure) -> DataFrame:
 
 def with_heads(found: DataFrame, by: list[str]) -> DataFrame:
     """found (a written table of rows with rid and root) with head, the row of its class that is first by these columns: a
-    struct of them and rid. Which one it is does not depend on how rows were numbered."""
-    heads = written(found.groupBy("root").agg(F.min(F.struct(*by, "rid")).alias("head")), "heads")
-    return found.join(heads, "root")
+    struct of them and rid, and n, the rows of its class. Which row it is does not depend on how rows were numbered."""
+    heads = written(found.groupBy("root").agg(F.min(F.struct(*by, "rid")).alias("head"), F.count("*").alias("n")), "heads")
+    return join_hot(found, heads, "root", "n")
 
 
 def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     """items (a written table): rid long (unique), key binary, bands array<long>, text string, and more.
 
-    Returns items without bands and text but with root: the smallest rid of the class the item is in.
+    Returns items without bands and text but with root: the smallest rid of the class the item is in, null where
+    it is alone in its class.
     """
-    reps = written(items.groupBy("key").agg(F.min("rid").alias("node"), F.min("bands").alias("bands")), "nodes")  # one key, one list
+    first = items.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"))
+    of = items.where(F.size("bands") > 0).select(F.col("rid").alias("node"), "bands")
+    reps = written(first.join(of.hint("merge"), "node", "left"), "nodes")
     banded = reps.select("node", F.explode("bands").alias("band"))
     size = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
     size = written(size, "buckets")
@@ -184,6 +187,7 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
         late = written(across(rows, measure), "verified")
         if not late.isEmpty():
             roots = components(links.unionByName(late))
-    classes = written(reps.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "classes")
+    classes = reps.join(roots, "node", "left").where("root IS NOT NULL OR copies > 1")
+    classes = written(classes.select("key", F.coalesce("root", "node").alias("root"), "copies"), "classes")
     discard(reps, texts, links, big, main)
-    return items.drop("bands", "text").join(classes, "key")
+    return join_hot(items.drop("bands", "text"), classes, "key", "copies", "left").drop("copies")

@@ -87,7 +87,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: rid, id, digest and head, the row that stands for its class: the one of the smallest id."""
     items = prepared(docs, id_col, text_col)
     found = near_dup.near_classes(items, near_dup.Measure(shingles.counted, near_dup.probability_jaccard, similarity, sets=True))
-    found = written(found.select("rid", "id", "digest", "root"), "class_rows")
+    found = written(found.select("rid", "id", "digest", F.coalesce("root", "rid").alias("root")), "class_rows")
     discard(items)
     return near_dup.with_heads(found, ["id", "digest"])
 
