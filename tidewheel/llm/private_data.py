@@ -12,8 +12,8 @@ the others. Tokens labelled as data that no base span touches become spans; neig
 
 The field is trained on documents made by ``labelled_documents`` by pseudo-likelihood, on the driver; N_TRAIN bounds it.
 
-Rules: null text counts as empty; a text without digits and at signs (also written ones) has no spans; rows are independent of each other. No rows
-give no rows. Other columns are ignored. Positions count code points, the end is exclusive.
+Rules: null text counts as empty; a text without digits and at signs (also written ones) has no spans; rows are independent of each other, ids are only
+carried along (null ones too), and a text of any length is one document. No rows give no rows. Other columns are ignored. Positions count code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -37,7 +37,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
 N_TRAIN = 600
 PENALTY = 0.1
-PASSES = 12
+#: A document's messages are passed on until none changes by more than TOLERANCE (log probability); a field that does not
+#: settle is left after MORE_PASSES passes for each of its tokens and as many again.
+TOLERANCE = 1e-3
+MORE_PASSES = 50
 DAMPING = 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -190,8 +193,11 @@ class Field:
     near: np.ndarray
     skip: np.ndarray
 
-    def beliefs(self, graphs: list[Graph], passes: int = PASSES) -> np.ndarray:
-        """Log beliefs of every token of all graphs, by damped message passing in a fixed number of passes."""
+    def beliefs(self, graphs: list[Graph], tolerance: float = TOLERANCE) -> np.ndarray:
+        """Log beliefs of every token of all graphs, by damped message passing until each graph's messages have settled.
+
+        A graph that has settled is left as it is, so its beliefs do not depend on the graphs beside it.
+        """
         k = len(LABELS)
         sizes = [len(g.spans) for g in graphs]
         begin = np.cumsum([0, *sizes])[:-1]
@@ -210,14 +216,20 @@ class Field:
         pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         message = np.zeros((len(source), k))
-        total = unary
-        for _ in range(passes if len(source) else 0):
-            out = (total[source] - message[back])[:, :, None] + pair
+        of = np.searchsorted(begin, source, "right") - 1  # a graph without tokens begins where the next one does
+        most = MORE_PASSES * (np.array(sizes) + 1)
+        active, total, turn = np.arange(len(source)), unary.copy(), 0
+        while len(active):
+            turn += 1
+            out = (total[source[active]] - message[back[active]])[:, :, None] + pair[active]
             new = np.logaddexp.reduce(out, axis=1)
             new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-            total = unary.copy()
-            np.add.at(total, target, message)
+            new = DAMPING * message[active] + (1 - DAMPING) * new
+            change = np.zeros(len(graphs))
+            np.maximum.at(change, of[active], np.abs(new - message[active]).max(axis=1))
+            np.add.at(total, target[active], new - message[active])
+            message[active] = new
+            active = active[((change > tolerance) & (turn < most))[of[active]]]
         return total - np.logaddexp.reduce(total, axis=1, keepdims=True)
 
     def added(self, texts: list[str], base: list[list[tuple[str, int, int]]], whole: bool = False) -> list[list[tuple[str, int, int]]]:
