@@ -76,3 +76,9 @@ def test_no_rows_and_no_ids(spark):
     df = spark.createDataFrame([(None, "a" * 400), (None, "b")], "doc_id long, text string")
     assert sorted(r.n_removed for r in S.removed_spans(df).collect()) == [0, 400]
     assert S.removed_spans(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("min_len", [40, 48, 304])
+def test_lengths_that_do_not_fit_are_refused(spark, min_len):
+    with pytest.raises(ValueError, match="min_len"):
+        S.removed_spans(spark.createDataFrame([(1, "a")], "doc_id long, text string"), min_len=min_len)

@@ -14,7 +14,7 @@ Groups of more than most_regions different regions are not put in one task: thei
 instead, in DataFrame operations, with the same result.
 
 Rules: null text counts as empty; a text shorter than min_len loses nothing; rows repeated in full repeat each other; ids are only
-carried along. No rows give no rows. Other columns are ignored. Equality of regions rests on two 64-bit hashes.
+carried along (null ones too). A text of any length is one row, scanned at once. No rows give no rows. Other columns are ignored. Equality of regions rests on two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -333,6 +333,8 @@ def cut_out(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tup
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, most_regions: int = MOST_REGIONS, with_text: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<s,e>>; with_text adds kept, the remaining bytes."""
+    if not ANCHOR < min_len <= ANCHOR + 255:  # a place holds distances below 256
+        raise ValueError(f"min_len is {min_len}; it must be over {ANCHOR} and at most {ANCHOR + 255}")
     texts = scanned(docs, id_col, text_col, min_len)
     ranges = covered(texts, min_len, most_regions).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     rows = texts.select("rid", "id", "n_bytes", "sha", "packed").join(ranges, "rid", "left").drop("rid")
