@@ -1,6 +1,8 @@
 """The pipeline against a brute-force version, its parts of the contract, and odd tables."""
 
 import hashlib
+import random
+import zlib
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tidewheel.llm import mixing, near_dup, sampled_pieces, shingles, toxicity
+from tidewheel.llm.common import written
 
 from .test_dedup import classes_of
 
@@ -45,8 +48,19 @@ def test_stages_against_brute_force(spark):
     assert mixed.columns == docs.columns
     taken = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert taken == {r.doc_id: r.copies for r in mixing.assign(got).collect() if r.copies}
-    pieces = P.sample_pieces(spark, mixed, SF).collect()
+    kept = written(mixed, "mixed")
+    pieces = P.sample_pieces(spark, kept, SF).collect()
     assert len(pieces) == sum(taken.values())
+    # the training order is that of the positions, and copies differ
+    want = sorted((p, r.doc_id) for r in mixing.assign(got).collect() for p in r.positions)
+    assert [r.doc_id for r in sorted(pieces, key=lambda r: (r.part, r.row))] == [i for _, i in want]
+    assert [(r.part, r.row) for r in pieces] == sorted((r.part, r.row) for r in pieces)
+    by_doc = {}
+    for r in pieces:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert all([r.copy for r in x] == list(range(len(x))) for x in by_doc.values())
+    more = [x for x in by_doc.values() if len(x) > 1 and x[0].n_chars > 100]
+    assert more and all(x[0].ids != x[1].ids for x in more)
     for r in pieces:
         assert r.lossless and r.decoded_sha256 == hashlib.sha256((rows[r.doc_id].text or "").encode()).hexdigest()
 
@@ -121,7 +135,7 @@ def test_stages_take_odd_tables(spark):
         got = table
         for name, stage in P.STAGES:
             before = got
-            got = stage(spark, got, SF)
+            got = written(stage(spark, got, SF), "stage")
             if name != "pieces":
                 assert got.columns == before.columns
         got.collect()
@@ -189,6 +203,44 @@ def test_toxicity_is_learned_and_held_out(spark):
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_matches_brute_force(spark):
+    """Counts, ratios, choice of features and fit by plain Python, with another optimiser."""
+    rng = random.Random(3)
+    bad, good = ["idiot", "moron", "awful trash"], ["lovely", "kind words", "sunny", "river"]
+    texts = [" ".join(rng.choice(good + bad * (i % 3 == 0)) for _ in range(rng.randrange(0, 7))) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(any(b in t for b in bad))) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    n_features = 150
+
+    def grams(text):
+        padded, found = [ord(c) for c in f" {text.lower()} "], set()
+        for n in toxicity.GRAMS:
+            for at in range(len(padded) - n + 1):
+                x = sum(c * int(k) for c, k in zip(padded[at : at + n], toxicity._K, strict=False)) % (1 << 64)
+                found.add(((x ^ x >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64)) >> 64 - toxicity.HASH_BITS)
+        return found
+
+    train = [(grams(t), int(any(b in t for b in bad))) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    n_pos = sum(y for _, y in train)
+    n_neg = len(train) - n_pos
+    pos, neg = ({g: sum(g in x for x, y in train if y == c) for g in set().union(*(x for x, _ in train))} for c in (1, 0))
+    often = [g for g in pos if pos[g] + neg[g] >= toxicity.MIN_DOCS]
+    expected = {g: (pos[g] + neg[g]) * (n_pos / len(train)) for g in often}
+    chosen = sorted(often, key=lambda g: (-((pos[g] - expected[g]) * (pos[g] - expected[g]) / expected[g]), g))[:n_features]
+    ratio = np.array([np.log((pos[g] + 1) / (n_pos + 2) / ((neg[g] + 1) / (n_neg + 2))) for g in chosen])
+    x = np.array([[r * (g in f) for g, r in zip(chosen, ratio, strict=True)] + [1.0] for f, _ in train])
+    y = np.array([v for _, v in train], dtype=float)
+    w = np.zeros(n_features + 1)
+    ridge = np.diag([toxicity.PENALTY] * n_features + [0.0])
+    for _ in range(60):  # Newton's method
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ w)
+    want = [1 / (1 + np.exp(-sum((r * v for g, r, v in zip(chosen, ratio, w, strict=False) if g in grams(t)), w[-1]))) for t in texts]
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels, n_features=n_features).collect()}
+    assert np.abs([got[i].score - s for i, s in enumerate(want)]).max() < 2e-3
+    assert all(got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate([None, "", "bad idiot words", "good words", "good day"] * 8)] + [(None, "x", 1.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, int(i % 5 == 2)) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")

@@ -10,8 +10,9 @@ proportion; a target stops at max_repeats times its source's words and the exces
 A document is taken once for each pass in which its middle word lies below the target, so at most max_repeats times,
 and a source misses its target by half a document at most.
 
-Rules: null text has size 0 and is emitted in the passes that reach it; a null id is hashed as the text 'null'; rows
-repeated in full are separate documents to ``assign``. No rows give no rows. Other columns are ignored.
+Rules: null text has size 0 and is emitted in the passes that reach it; a null id is hashed with its text; rows
+repeated in full are separate documents to ``assign``. A text of any length is taken or left whole. No rows give no rows. Other columns
+are ignored. What is done for each source alone (``source_plan``) runs in one task, on a row per source.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, written
+from .common import sha256_hex, text_or_empty, written
 
 WEIGHTS = (5, 2, 1)
 #: Weight over time by the same turn as WEIGHTS, as (time, weight) knots joined by straight lines.
@@ -80,7 +81,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     of buckets first, then within a bucket, so a source with a third of all rows is spread like any other.
     """
     key = F.lit(None).cast("binary") if key is None else key
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.md5(text_or_empty(text_col))))
     sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(ident).alias("__h"), key.alias("__key"))
     sized = written(sized, "sized")  # texts are read and counted once
     sources = source_plan(sized, max_repeats=max_repeats, **plan)
@@ -116,3 +117,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.repartitionByRange(int(n), "__tw_pos", id_col).sortWithinPartitions("__tw_pos", id_col)
     return rows.select(*[F.col(f"`{c}`") for c in cols])
+
+
+def with_order(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of a mix that has been written as Parquet files, with their place in it: part (number of the file), row (in the
+    file), and copy, which of the copies of this document it is (0, 1 ..) in training order, whatever the files."""
+    order = mixed.withColumn("part", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")).withColumn("row", F.col("_metadata.row_index"))
+    of = Window.partitionBy(id_col, F.xxhash64(text_or_empty(text_col))).orderBy("part", "row")
+    return order.withColumn("copy", F.row_number().over(of) - 1)

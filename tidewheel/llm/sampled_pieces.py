@@ -11,14 +11,14 @@ follows; characters that no longer piece contains stand alone). Chunks that occu
 The vocabulary's scores are ranks; a piece of rank r weighs 1 / (r + RANK_SHIFT). A space is written as U+2581 and one is put
 before the text; a character without a piece, and U+2581 itself, is written as its UTF-8 bytes.
 
-Rules: null text counts as empty, which is the one piece for the space before it; rows of one key have the same draws. No rows
-give no rows. Other columns are ignored.
+Rules: null text counts as empty, which is the one piece for the space before it; rows of one key have the same draws, and all
+rows without an id have one key. A text of any length is one lattice. No rows give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -245,11 +245,17 @@ def decode(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [flat[a + 1 : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: Vocabulary | None = None, alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """Per row: id, n_chars, n_tokens, ids array<int>, decoded_sha256 (of the ids decoded again), lossless."""
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: Vocabulary | None = None, alpha: float = 1.0, seed: int = 0, copy_col: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Per row: id, n_chars, n_tokens, ids array<int>, decoded_sha256 (of the ids decoded again), lossless, and the columns of carry.
+
+    The row's key is its id, with copy_col its id and the number of its copy (0 draws as without).
+    """
     v = vocabulary or read_vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast(v)
-    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("seed"), text_or_empty(text_col).alias("text"))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    if copy_col:
+        key = F.when(F.col(copy_col) == 0, key).otherwise(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed), F.col(copy_col)))
+    narrow = docs.select(F.col(id_col).alias("id"), key.alias("seed"), text_or_empty(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
@@ -268,13 +274,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)),
                         pa.array([hashlib.sha256(b).hexdigest() for b in back]),
                         pa.array(same, pa.bool_()),
+                        *[batch.column(f"carry_{c}").slice(first, len(chunk)) for c in carry],
                     ],
-                    ["id", "n_chars", "n_tokens", "ids", "decoded_sha256", "lossless"],
+                    ["id", "n_chars", "n_tokens", "ids", "decoded_sha256", "lossless", *[f"carry_{c}" for c in carry]],
                 )
 
     kind = narrow.schema["id"].dataType.simpleString()
-    out = narrow.mapInArrow(trimmed(run), f"id {kind}, n_chars long, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
-    return out.withColumnRenamed("id", id_col)
+    out = narrow.mapInArrow(trimmed(run), f"id {kind}, n_chars long, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean" + "".join(f", carry_{c} {narrow.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry))
+    return out.withColumnsRenamed({"id": id_col} | {f"carry_{c}": c for c in carry})
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: Vocabulary | None = None) -> DataFrame:
