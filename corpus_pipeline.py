@@ -33,8 +33,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, with the digest of what they decode to."""
-    return compact(sampled_pieces.encode_documents(docs))
+    """Piece ids of every document in training order, with the digest of what they decode to and its place in that order.
+
+    docs is what mix_sources returned, read again: the order is that of its files and of the rows in them. Copies of a
+    document are segmented by draws of their own.
+    """
+    order = ["part", "row", "copy"]
+    found = sampled_pieces.encode_documents(mixing.with_order(docs), copy_col="copy", carry=order)
+    return found.repartitionByRange("part", "row").sortWithinPartitions("part", "row")
 
 
 STAGES = [
