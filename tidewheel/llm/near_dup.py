@@ -159,9 +159,8 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     Returns items without bands and text but with root: the smallest rid of the class the item is in, null where
     it is alone in its class.
     """
-    first = items.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"))
-    of = items.where(F.size("bands") > 0).select(F.col("rid").alias("node"), "bands")
-    reps = written(first.join(of.hint("merge"), "node", "left"), "nodes")
+    reps = items.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    reps = written(reps, "nodes")  # one key, one list
     banded = reps.select("node", F.explode("bands").alias("band"))
     size = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
     size = written(size, "buckets")
