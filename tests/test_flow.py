@@ -235,6 +235,27 @@ def test_token_bucket(spark):
     assert {r.seq: r.passes for r in limiter.token_bucket(make(rows), F.col("k"), 10, 100).collect()} == simulated_bucket(rows, 10, 100)
 
 
+def test_packets_with_nulls_are_kept(spark):
+    rows = [(0, 0, "LAN", 17, 1, 2, 3, 4, 10), (1, None, "LAN", 17, 1, 2, 3, 4, 10), (2, 5, "WAN", 17, 2, 1, 4, 3, 10), (3, 6, "LAN", 17, None, 2, 3, 4, 10), (4, 7, "WAN", 17, 2, None, 4, 3, 10), (5, 8, None, 17, 1, 2, 3, 4, 10), (6, 9, "LAN", None, 1, 2, 3, 4, None)]
+    df = spark.createDataFrame(rows, PACKET)
+    got = {r.seq: r.action for r in flowtable.firewall(df, 1_000_000).collect()}
+    assert got == {0: "WAN", 1: "DROP", 2: "LAN", 3: "WAN", 4: "LAN", 5: "DROP", 6: "DROP"}
+    keyed = spark.createDataFrame([(0, 0, "LAN", 40, None), (1, 1, "LAN", 70, None), (2, None, "LAN", 1, "k"), (3, 3, "LAN", None, "k")], "seq long, now_us long, device string, pkt_len long, k string")
+    assert {r.seq: r.passes for r in limiter.token_bucket(keyed, F.col("k"), 10, 100).collect()} == {0: True, 1: False, 2: False, 3: True}
+    assert flowtable.firewall(df.limit(0)).count() == 0 and limiter.token_bucket(keyed.limit(0), F.col("k"), 10, 100).count() == 0
+
+
+def test_ranks_of_ties(spark):
+    rng = random.Random(5)
+    for keys, kind in (([None, *range(500)], "long"), ([f"k{i}" for i in range(500)], "string")):
+        n = {k: rng.choice([1, 1, 1, 1, 2, 9]) for k in keys}
+        got = {r.key: (r["rank"], r.before) for r in skew.ranked(spark.createDataFrame(list(n.items()), f"key {kind}, n long")).collect()}
+        order = sorted(keys, key=lambda k: (-n[k], k is not None, k if k is not None else 0))
+        assert [got[k][0] for k in order] == list(range(1, len(order) + 1))
+        assert all(got[k][1] == sum(n[x] for x in order[:i]) for i, k in enumerate(order))
+    assert skew.ranked(spark.createDataFrame([], "key long, n long")).count() == 0
+
+
 def test_consistent_hashing(spark):
     table = {}
     for r in chash.build_table(spark, 5, 2).orderBy("bucket", "prio").collect():

@@ -79,8 +79,14 @@ def test_generators(spark):
         got = np.bincount([r.flow for r in traffic.zipf_flows(rows, 50, s).collect()], minlength=50) / 20_000
         want = np.arange(1, 51, dtype=float) ** -s
         assert np.abs(got - want / want.sum()).max() < 0.015
-        closed = [r.f for r in rows.select(traffic.zipf_closed_form(F.rand(3), 50, s).alias("f")).collect()]
-        assert min(closed) == 0 and max(closed) <= 49
+        # the law is the same whether a flow's weight is tabled or summed by formula
+        law = traffic.Zipf(3 * traffic.TABLED, s)
+        whole = np.cumsum(np.arange(1, 3 * traffic.TABLED + 1, dtype=float) ** -s)
+        at = np.array([1, 2, traffic.TABLED, traffic.TABLED + 1, traffic.TABLED + 77, 3 * traffic.TABLED])
+        assert np.allclose(law.weight(at), whole[at - 1], rtol=1e-12, atol=0)
+        u = np.linspace(0, 1, 5001)[:-1] + 1e-5
+        exact = np.searchsorted(whole, u * whole[-1], "right")
+        assert np.abs(law.pick(u) - exact).max() <= 1 and (law.pick(u) == exact).mean() > 0.999
     assert traffic.zipf_flows(rows, 10, 0.0).where("flow < 0 OR flow > 9").count() == 0
     p = traffic.packets(spark, 640, 100, 0.9, logical_batch=64)
     assert {r.stride_size for r in strides.strides(p, "lazy").collect()} == {32}

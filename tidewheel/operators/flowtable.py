@@ -23,7 +23,7 @@ SLICE_TIMEOUTS = 64
 
 def with_sessions(df: DataFrame, timeout_us: int = TIMEOUT_US, key: Column | None = None, slice_us: int | None = None) -> DataFrame:
     """df with flow (the canonical key), session_start (time of the run's first packet) and lan_before (a LAN packet came
-    earlier in the run)."""
+    earlier in the run). A null key is a key like any other; the packets of a key without a time are one run, whose start is null."""
     slice_us = slice_us or SLICE_TIMEOUTS * timeout_us
     df = df.withColumn("flow", canonical_key() if key is None else key).withColumn("__s", F.floor(F.col("now_us") / slice_us))
     part = Window.partitionBy("flow", "__s").orderBy("now_us", "seq")
@@ -51,17 +51,18 @@ def with_sessions(df: DataFrame, timeout_us: int = TIMEOUT_US, key: Column | Non
         F.min("a").over(session).alias("__open_start"),
         F.coalesce(F.max("lan").over(session.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__open_lan"),
     ).where("__run = 0")
-    df = df.join(segments.withColumnRenamed("__run", "__head"), ["flow", "__s"])
+    segments = segments.withColumnsRenamed({"flow": "__flow", "__s": "__slice", "__run": "__head"})
+    df = df.join(segments, F.col("flow").eqNullSafe(F.col("__flow")) & F.col("__s").eqNullSafe(F.col("__slice")))
     in_head = F.col("__run") == 0
     df = df.withColumn("session_start", F.when(in_head, F.col("__open_start")).otherwise(F.col("__start")))
     df = df.withColumn("lan_before", F.greatest("__lan_before", F.when(in_head, F.col("__open_lan")).otherwise(F.lit(0))) > 0)
-    return df.drop("__s", "__new", "__run", "__lan", "__lan_before", "__start", "__head", "__open_start", "__open_lan")
+    return df.drop("__flow", "__slice", "__s", "__new", "__run", "__lan", "__lan_before", "__start", "__head", "__open_start", "__open_lan")
 
 
 def firewall(df: DataFrame, timeout_us: int = TIMEOUT_US, slice_us: int | None = None) -> DataFrame:
     """df with flow, session_start and action: LAN packets go to WAN, WAN packets to LAN if a flow is alive, else DROP.
-    Packets that are not TCP or UDP over IPv4 are dropped and leave the table alone."""
-    ok = F.col("proto").isin(6, 17)
+    Packets that are not TCP or UDP over IPv4, and those without a time or a device, are dropped and leave the table alone."""
+    ok = F.col("proto").isin(6, 17) & F.col("now_us").isNotNull() & F.col("device").isNotNull()
     found = with_sessions(df.where(ok), timeout_us, slice_us=slice_us)
     action = F.when(F.col("device") == LAN, WAN).when(F.col("lan_before"), LAN).otherwise(DROP)
     found = found.withColumn("action", action).drop("lan_before")
@@ -129,8 +130,13 @@ def overfull(df: DataFrame, capacity: int = MAX_FLOWS, timeout_us: int = TIMEOUT
     """Whether an unbounded table would ever hold more than capacity flows: most_flows and overfull."""
     ends = sessions(df, timeout_us)
     steps = ends.select(F.col("session_start").alias("t"), F.lit(1).alias("d")).unionByName(ends.select((F.col("session_end") + timeout_us + 1).alias("t"), F.lit(-1).alias("d")))
-    steps = steps.groupBy("t").agg(F.sum("d").alias("d"))
-    held = steps.select(F.sum("d").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    # per slice of time the sum of its steps, then the steps of a slice in order: one task sees a row per slice alone
+    steps = steps.groupBy("t").agg(F.sum("d").alias("d")).withColumn("s", F.floor(F.col("t") / (SLICE_TIMEOUTS * timeout_us)))
+    slices = steps.groupBy("s").agg(F.sum("d").alias("d"))
+    before = F.coalesce(F.sum("d").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.select(F.col("s").alias("__s"), before.alias("before"))
+    steps = steps.join(slices, F.col("s").eqNullSafe(F.col("__s")))
+    held = steps.select((F.col("before") + F.sum("d").over(Window.partitionBy("s").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))).alias("n"))
     return held.agg(F.max("n").alias("most_flows"), (F.max("n") > capacity).alias("overfull"))
 
 

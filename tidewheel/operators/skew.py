@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType
 
 from ..schema import BATCH_SIZE
 from . import sketches, strides
 
+#: Parts into which the flows of one count are cut to be numbered.
+BUCKETS = 64
+
 
 def sampled_keys(df: DataFrame, key: Column, share: float = 1.0) -> DataFrame:
     """seq and key of a share of the packets, chosen by the hash of seq: what workers tell the orchestrator."""
@@ -25,16 +29,26 @@ def elephants_by_median(counts: DataFrame, times: float = 100.0) -> DataFrame:
 
 
 def ranked(counts: DataFrame) -> DataFrame:
-    """counts with rank, before (packets of heavier flows), total and n_flows.
+    """counts with rank, before (packets of heavier flows), total and n_flows; ties by key.
 
-    Flows are first grouped by their count, which has few values; the order within a count is by key.
+    Flows are first grouped by their count, which has few values. Most flows have the same small counts, so those of a count
+    are cut into BUCKETS by quantiles of their key (of its first field, if that is a number) and numbered within these.
     """
-    sizes = counts.groupBy("n").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
-    down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    kind = counts.schema["key"].dataType
+    first = F.col("key")
+    if isinstance(kind, StructType):
+        kind, first = kind.fields[0].dataType, F.col("key").getField(kind.fields[0].name)
+    if isinstance(kind, NumericType):
+        cuts = counts.agg(F.percentile_approx(first, [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("__cuts"))
+        counts = counts.crossJoin(F.broadcast(cuts)).withColumn("__b", F.size(F.filter(F.coalesce("__cuts", F.array()), lambda x: x <= first))).drop("__cuts")
+    else:
+        counts = counts.withColumn("__b", F.lit(0))
+    down = Window.orderBy(F.desc("n"), "__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    sizes = sizes.select("n", F.coalesce(F.sum("k").over(down), F.lit(0)).alias("ahead"), F.coalesce(F.sum("m").over(down), F.lit(0)).alias("heavier"), F.sum("m").over(whole).alias("total"), F.sum("k").over(whole).alias("n_flows"))
-    nth = F.row_number().over(Window.partitionBy("n").orderBy("key"))
-    rows = counts.withColumn("__nth", nth).join(sizes, "n")
+    sizes = counts.groupBy("n", "__b").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
+    sizes = sizes.select("n", "__b", F.coalesce(F.sum("k").over(down), F.lit(0)).alias("ahead"), F.coalesce(F.sum("m").over(down), F.lit(0)).alias("heavier"), F.sum("m").over(whole).alias("total"), F.sum("k").over(whole).alias("n_flows"))
+    nth = F.row_number().over(Window.partitionBy("n", "__b").orderBy("key"))
+    rows = counts.withColumn("__nth", nth).join(sizes, ["n", "__b"])
     return rows.select("key", "n", (F.col("ahead") + F.col("__nth")).alias("rank"), (F.col("heavier") + (F.col("__nth") - 1) * F.col("n")).alias("before"), "total", "n_flows")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -464,7 +466,13 @@ def zipf_flows(spark, sf):
     return traffic.zipf_flows(spark.range(5000).withColumnRenamed("id", "seq"), 1000, 1.0)
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT unnest([0.4, 0.8, 1.0, 1.2])::DOUBLE AS zipf), w AS (SELECT zipf, k, sum(pow((k + 1)::DOUBLE, -zipf)) OVER (PARTITION BY zipf ORDER BY k) AS c FROM e, range(40000) r(k)),
+t AS (SELECT zipf, k, coalesce(lag(c) OVER (PARTITION BY zipf ORDER BY k), 0) AS low FROM w), total AS (SELECT zipf, max(c) AS total FROM w GROUP BY 1),
+u AS (SELECT i, {_DRAW.format(salt='z')} AS u FROM range(20000) r(i)), goal AS (SELECT i, zipf, u * total AS goal FROM u, total),
+f AS (SELECT i, goal.zipf, k AS flow FROM goal ASOF JOIN t ON goal.zipf = t.zipf AND goal.goal >= t.low UNION ALL SELECT i, 0, floor(u * 40000)::BIGINT FROM u),
+g AS (SELECT zipf, i // 32 AS b, flow, count(*) AS n FROM f GROUP BY ALL) SELECT zipf, avg(n) AS mean_stride, count(*) AS n_strides FROM g GROUP BY 1"""
+)
 def zipf_sweep(spark, sf):
     rows = traffic.sweep(spark.range(20_000).withColumnRenamed("id", "seq"), 40_000, [0.0, 0.4, 0.8, 1.0, 1.2])
     runs = strides.grouped_strides(rows.withColumn("batch", F.col("zipf")), F.struct("zipf", "flow"))
@@ -547,6 +555,27 @@ def filled_grid(spark, sf):
     return stats.filled_grid(counts, {"event_type": ["click", "error", "login", "view"], "hour": list(range(24))}, ["n"])
 
 
+# functions of the user's own, run by a technique
+
+
+@query(f"WITH {PACKETS}, {_HEADS['lazy']}, d AS (SELECT seq, CASE WHEN pkt_len > 50 THEN 'DROP' ELSE {_SWAP} END AS action FROM h WHERE seq = head) {_end}")
+def program_user_expression(spark, sf):
+    """A function of one packet: long ones are dropped, others forwarded."""
+    swap = F.when(F.col("device") == LAN, WAN).otherwise(LAN)
+    return _program(F.when(F.col("pkt_len") > 50, DROP).otherwise(swap), "lazy")(spark, sf)
+
+
+@query(f"WITH {PACKETS}, {_HEADS['greedy']}, d AS (SELECT seq, CASE WHEN row_number() OVER (PARTITION BY key ORDER BY seq) > 3 THEN 'DROP' ELSE {_SWAP} END AS action FROM h WHERE seq = head) {_end}")
+def program_user_state(spark, sf):
+    """A function with state: of a flow three runs are forwarded, later ones dropped."""
+
+    def three(heads: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(flow_key()).orderBy("seq"))
+        return heads.withColumn("action", F.when(nth > 3, DROP).when(F.col("device") == LAN, WAN).otherwise(LAN))
+
+    return _program(three, "greedy")(spark, sf)
+
+
 # relational categories over the star schema, beside the flow engine
 
 
@@ -594,3 +623,121 @@ def top_orders(spark, sf):
 def outer_join_counts(spark, sf):
     n, s = _t(spark, sf, "nation", "supplier")
     return n.join(s, (s.s_nationkey == n.n_nationkey) & (s.s_acctbal > 0), "left").groupBy("n_name").agg(F.count("s_suppkey").alias("n_suppliers"))
+
+
+@query("SELECT band, count(*) AS n FROM orders JOIN (VALUES (0, 0, 1000), (1, 1000, 50000), (2, 50000, 200000), (3, 200000, 1000000000)) b(band, low, high) ON o_totalprice >= low AND o_totalprice < high GROUP BY 1")
+def range_join(spark, sf):
+    """Bands that do not overlap: a row's band is known by its place among their lower bounds, so the join has a key."""
+    (o,) = _t(spark, sf, "orders")
+    rows = [(0, 0, 1000), (1, 1000, 50_000), (2, 50_000, 200_000), (3, 200_000, 1_000_000_000)]
+    place = F.size(F.filter(F.array(*[F.lit(low) for _, low, _ in rows]), lambda low: low <= F.col("o_totalprice"))) - 1
+    bands = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place int, band int, low long, high long")
+    return o.withColumn("place", place).join(F.broadcast(bands), "place").where("o_totalprice < high").groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query("SELECT e.event_id, (SELECT epoch_us(max(l.ts)) FROM events l WHERE l.user_id = e.user_id AND l.event_type = 'login' AND l.ts <= e.ts) AS login_us FROM events e WHERE e.event_type = 'error'")
+def asof_join(spark, sf):
+    """Of each error the last login of its user: one sort by (user, time), no join."""
+    (e,) = _t(spark, sf, "events")
+    e = e.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    upto = Window.partitionBy("user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+    return e.withColumn("login_us", F.max(F.when(F.col("event_type") == "login", F.col("us"))).over(upto)).where("event_type = 'error'").select("event_id", "login_us")
+
+
+@query("SELECT e.event_id, count(c.event_id) AS n_clicks FROM events e LEFT JOIN events c ON c.user_id = e.user_id AND c.event_type = 'click' AND epoch_us(c.ts) BETWEEN epoch_us(e.ts) - 3600000000 AND epoch_us(e.ts) WHERE e.event_type = 'error' GROUP BY 1")
+def interval_join(spark, sf):
+    """Clicks of the hour before each error: joined by user and hour, of which an interval meets two."""
+    (e,) = _t(spark, sf, "events")
+    e = e.select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("h", F.floor(F.col("us") / HOUR))
+    errors = e.where("event_type = 'error'").withColumn("h", F.explode(F.array(F.col("h"), F.col("h") - 1))).drop("event_type")
+    clicks = e.where("event_type = 'click'").select("user_id", "h", F.col("us").alias("at"))
+    met = errors.join(clicks, ["user_id", "h"], "left")
+    return met.groupBy("event_id").agg(F.count(F.when(F.col("at").between(F.col("us") - HOUR, F.col("us")), 1)).alias("n_clicks"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n_day FROM events")
+def range_frame(spark, sf):
+    (e,) = _t(spark, sf, "events")
+    day = Window.partitionBy("user_id").orderBy("us").rangeBetween(-24 * HOUR, 0)
+    return e.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", F.count("*").over(day).alias("n_day"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def orders_rollup(spark, sf):
+    (o,) = _t(spark, sf, "orders")
+    return o.rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def grouping_sets(spark, sf):
+    (o,) = _t(spark, sf, "orders")
+    keys = [F.col("o_orderstatus"), F.col("o_orderpriority")]
+    return o.groupingSets([keys[:1], keys[1:], []], *keys).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_suppkey AS k FROM lineitem WHERE l_quantity < 20 EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_quantity >= 30")
+def except_all(spark, sf):
+    (x,) = _t(spark, sf, "lineitem")
+    return x.where("l_quantity < 20").select(F.col("l_suppkey").alias("k")).exceptAll(x.where("l_quantity >= 30").select("l_suppkey"))
+
+
+@query("SELECT n_name, s_suppkey FROM (SELECT * FROM nation WHERE n_regionkey < 2) FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 9000) ON s_nationkey = n_nationkey")
+def full_outer_join(spark, sf):
+    n, s = _t(spark, sf, "nation", "supplier")
+    return n.where("n_regionkey < 2").join(s.where("s_acctbal > 9000"), F.col("s_nationkey") == F.col("n_nationkey"), "full").select("n_name", "s_suppkey")
+
+
+_ABOVE = "SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer x WHERE x.c_nationkey = c.c_nationkey)"
+
+
+@query(_ABOVE)
+def correlated_subquery(spark, sf):
+    (c,) = _t(spark, sf, "customer")
+    c.createOrReplaceTempView("tw_customer")
+    return spark.sql(_ABOVE.replace("customer", "tw_customer"))
+
+
+_STEPS = "WITH RECURSIVE s(n, size) AS (SELECT 0, 1::BIGINT UNION ALL SELECT n + 1, size * 2 FROM s WHERE n < 12) SELECT n, size FROM s"
+
+
+@query(_STEPS)
+def recursive_sizes(spark, sf):
+    return spark.sql(_STEPS)
+
+
+@query("SELECT event_type, round(exp(avg(ln(1 + abs(value)))), 6) AS mean FROM events GROUP BY 1")
+def user_aggregate(spark, sf):
+    """An aggregate of the user's own, over Arrow batches of a group: the geometric mean."""
+
+    @F.pandas_udf("double")
+    def geometric(x: pd.Series) -> float:
+        return float(np.exp(np.log1p(x.abs()).mean()))
+
+    (e,) = _t(spark, sf, "events")
+    return e.groupBy("event_type").agg(F.round(geometric("value"), 6).alias("mean"))
+
+
+@query("SELECT n_nationkey, i AS place, n_name[i + 1] AS letter FROM nation, range(40) r(i) WHERE i < length(n_name)")
+def user_table_function(spark, sf):
+    """A table function of the user's own, joined laterally: the letters of a name."""
+
+    @F.udtf(returnType="place long, letter string")
+    class Letters:
+        def eval(self, name: str):
+            yield from enumerate(name or "")
+
+    (n,) = _t(spark, sf, "nation")
+    return n.lateralJoin(Letters(F.col("n_name").outer())).select("n_nationkey", "place", "letter")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer")
+def sorted_places(spark, sf):
+    """A global sort and each row's place in it: sums over parts of the range first, then within a part."""
+    (c,) = _t(spark, sf, "customer")
+    cuts = c.agg(F.percentile_approx("c_acctbal", [i / 64 for i in range(1, 64)])).first()[0] or [0.0]
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x > F.col("c_acctbal")))
+    rows = c.select("c_custkey", "c_acctbal", part.alias("part"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", ahead.alias("ahead"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    return rows.withColumn("nth", nth).join(parts, "part").select("c_custkey", (F.col("ahead") + F.col("nth")).alias("place"))

@@ -6,7 +6,9 @@ state is per run too: only heads refresh a flow. Telemetry counts packets or, as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import string_key
@@ -40,15 +42,25 @@ def telemetry(df: DataFrame, count_mode: str = "packets", mode: str = "lazy", in
     return sketches.key_counts(df, telemetry_keys(), window)
 
 
-def decide(df: DataFrame, function: str, timeout_us: int = TIMEOUT_US) -> DataFrame:
-    """df with action, what the function says of each packet by itself."""
+def decide(df: DataFrame, function: str | Column | Callable[[DataFrame], DataFrame], timeout_us: int = TIMEOUT_US) -> DataFrame:
+    """df with action, what the function says of each packet by itself. A function of the user's own is an expression over a
+    packet, or takes the packets (those at the heads of runs, with all their columns) and returns them with action, by any
+    stateful plan."""
+    if isinstance(function, Column):
+        return df.withColumn("action", function)
+    if callable(function):
+        return function(df)
     return flowtable.firewall(df, timeout_us).drop("flow", "session_start") if function == "fw" else flowtable.port_swap(df)
 
 
-def program(df: DataFrame, function: str, technique: str, cores: int = 4, timeout_us: int = TIMEOUT_US, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Packets with batch_id, stride_id, stride_size, lane and action, as one of the programs forwards them."""
-    if function not in FUNCTIONS or technique not in TECHNIQUES:
-        raise ValueError(f"a function of {FUNCTIONS} and a technique of {TECHNIQUES}")
+def program(df: DataFrame, function: str | Column | Callable[[DataFrame], DataFrame], technique: str, cores: int = 4, timeout_us: int = TIMEOUT_US, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """Packets with batch_id, stride_id, stride_size, lane and action, as one of the programs forwards them.
+
+    A function that looks at one packet alone is run on all, and the others of a run take what its head has; only one
+    with state is run on the heads and joined.
+    """
+    if isinstance(function, str) and function not in FUNCTIONS or technique not in TECHNIQUES:
+        raise ValueError(f"a function of {FUNCTIONS}, an expression or a callable, and a technique of {TECHNIQUES}")
     lane = ["lane"]
     if technique.startswith("orchestrator_"):
         mode = technique.removeprefix("orchestrator_")
@@ -60,5 +72,9 @@ def program(df: DataFrame, function: str, technique: str, cores: int = 4, timeou
         runs = strides.assign_strides(skew.lane_sequence(by_core, batch_size=batch_size), "lazy" if technique == "lazy_multicore" else "baseline", batch_size=batch_size, lane=lane)
     else:
         runs = strides.assign_strides(df.withColumn("lane", F.lit("all")), technique, batch_size=batch_size, lane=lane)
-    heads = decide(runs.where("position = 0"), function, timeout_us).select("lane", "batch_id", "stride_id", "action")
-    return runs.join(heads, ["lane", "batch_id", "stride_id"])
+    run = ["lane", "batch_id", "stride_id"]
+    if function == "fw" if isinstance(function, str) else not isinstance(function, Column):
+        heads = decide(runs.where("position = 0"), function, timeout_us).select(*run, "action")
+        return runs.join(heads, run)
+    head = F.first("action").over(Window.partitionBy("lane", "batch_id", "stride_id").orderBy("position"))
+    return decide(runs, function).withColumn("action", head)

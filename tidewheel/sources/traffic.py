@@ -9,38 +9,69 @@ from pyspark.sql import functions as F
 
 from ..functions.core import unit_draw
 
-#: Distribution tables up to this many flows are shipped to the tasks; beyond, the inverse is in closed form.
-MOST_TABLED = 1 << 20
+#: Flows whose cumulative weights are tabled; those of later ones follow from the sum formula of Euler and Maclaurin, to the
+#: precision of a double.
+TABLED = 1 << 20
 
 
 def uniform_flows(rows: DataFrame, n_flows: int, seq: str = "seq", salt: str = "u") -> DataFrame:
     return rows.withColumn("flow", F.floor(unit_draw(F.col(seq), salt) * n_flows).cast("long"))
 
 
-def zipf_closed_form(u: Column, n_flows: int, s: float) -> Column:
-    """Inverse of the continuous Zipf distribution over [1, n + 1); s = 0 is uniform."""
-    if s == 0:
-        return F.floor(u * n_flows).cast("long")
-    if s == 1:
-        x = F.pow(F.lit(float(n_flows + 1)), u)
-    else:
-        x = F.pow(F.lit(1.0) + u * F.lit(float(n_flows + 1) ** (1 - s) - 1.0), F.lit(1.0 / (1 - s)))
-    return F.least(F.floor(x).cast("long") - 1, F.lit(n_flows - 1))
+class Zipf:
+    """The law by which flow k of n has a probability proportional to 1 / (k + 1) ** s, and its inverse; exact for any n."""
+
+    def __init__(self, n_flows: int, s: float):
+        self.n, self.s = n_flows, s
+        self.table = np.cumsum(np.arange(1, min(n_flows, TABLED) + 1, dtype=float) ** -s)
+        self.total = float(self.weight(np.array([n_flows]))[0])
+
+    def weight(self, k: np.ndarray) -> np.ndarray:
+        """The sum of the weights of the first k flows (1 or more each)."""
+        m, s = len(self.table), self.s
+        x = np.maximum(k, m).astype(float)
+        area = np.log(x / m) if s == 1 else (x ** (1 - s) - float(m) ** (1 - s)) / (1 - s)
+        ends = (x**-s - float(m) ** -s) / 2 - s * (x ** (-s - 1) - float(m) ** (-s - 1)) / 12
+        return np.where(k > m, self.table[-1] + area + ends, self.table[np.minimum(k, m) - 1])
+
+    def pick(self, u: np.ndarray) -> np.ndarray:
+        """The flow at which the cumulative probability first exceeds u."""
+        goal = u * self.total
+        found = np.searchsorted(self.table, goal, "right")
+        late = np.flatnonzero(found >= len(self.table))
+        low, high = np.full(len(late), len(self.table), dtype=np.int64), np.full(len(late), self.n, dtype=np.int64)
+        while (low < high).any():
+            half = (low + high) // 2
+            over = self.weight(half + 1) > goal[late]
+            low, high = np.where(over | (low >= high), low, half + 1), np.where(over, half, high)
+        found[late] = low
+        return np.minimum(found, self.n - 1)
 
 
 def zipf_flows(rows: DataFrame, n_flows: int, s: float, seq: str = "seq", salt: str = "z") -> DataFrame:
     """Flow k of n with probability proportional to 1 / (k + 1) ** s."""
+    return sweep(rows, n_flows, [s], seq, salt).drop("zipf")
+
+
+def sweep(rows: DataFrame, n_flows: int, exponents: list[float], seq: str = "seq", salt: str = "z") -> DataFrame:
+    """rows once for each exponent, as column zipf, with their flows. An exponent of 0 is the uniform law."""
     u = unit_draw(F.col(seq), salt)
-    if s == 0 or n_flows > MOST_TABLED:
-        return rows.withColumn("flow", zipf_closed_form(u, n_flows, s))
-    table = np.cumsum(np.arange(1, n_flows + 1, dtype=float) ** -s)
-    shared = rows.sparkSession.sparkContext.broadcast(table / table[-1])
+    rows = rows.withColumn("zipf", F.explode(F.array(*[F.lit(float(s)) for s in exponents])))
+    even = F.floor(u * n_flows).cast("long")
+    laws = {float(s): Zipf(n_flows, s) for s in exponents if s}
+    if not laws:
+        return rows.withColumn("flow", even)
+    shared = rows.sparkSession.sparkContext.broadcast(laws)  # of at most TABLED numbers an exponent
 
     @F.pandas_udf("long")
-    def pick(x: pd.Series) -> pd.Series:
-        return pd.Series(np.minimum(np.searchsorted(shared.value, x.to_numpy(), "right"), n_flows - 1))
+    def pick(x: pd.Series, s: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), dtype=np.int64)
+        for exponent, law in shared.value.items():
+            own = (s == exponent).to_numpy()
+            out[own] = law.pick(x.to_numpy()[own])
+        return pd.Series(out)
 
-    return rows.withColumn("flow", pick(u))
+    return rows.withColumn("flow", F.when(F.col("zipf") == 0, even).otherwise(pick(u, F.col("zipf"))))
 
 
 def packets(spark: SparkSession, n: int, n_flows: int, s: float = 0.0, packet_size: int = 64, gap_us: int = 1, logical_batch: int = 1) -> DataFrame:
@@ -78,12 +109,3 @@ def rate_stream(spark: SparkSession, packets_per_second: int, n_flows: int, chur
         F.lit(80).alias("dst_port"),
         F.lit(packet_size).cast("long").alias("pkt_len"),
     )
-
-
-def sweep(rows: DataFrame, n_flows: int, exponents: list[float], seq: str = "seq") -> DataFrame:
-    """rows once for each exponent, as column zipf, with their flows in closed form."""
-    rows = rows.withColumn("zipf", F.explode(F.array(*[F.lit(s) for s in exponents])))
-    flow = F.lit(None).cast("long")
-    for s in exponents:
-        flow = F.when(F.col("zipf") == s, zipf_closed_form(unit_draw(F.col(seq), "z"), n_flows, s)).otherwise(flow)
-    return rows.withColumn("flow", flow)
