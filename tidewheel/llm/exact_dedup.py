@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, fresh_path, keep_winners, sha256_hex, shuffle_partitions, written
+from .common import HOT_SHARE, discard, fresh_path, keep_winners, sha256_hex, shuffle_partitions, written
 
 
 class DigestIndex:
@@ -77,10 +77,12 @@ class DigestIndex:
         if done in self._names():
             return batch
         digests = docs.select(F.unhex(sha256_hex(text_col)).alias("digest"), F.col(id_col).alias("keep_id"))
-        new = digests.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.count("*").alias("group_size"))
-        new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
+        # written, since the planner moves an anti-join below an aggregate, where all copies of a text meet in one task
+        groups = written(digests.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.count("*").alias("group_size")), "digests")
+        new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
         new.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
+        discard(groups)
         self._mark(done)
         return batch
 
