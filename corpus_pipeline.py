@@ -40,6 +40,7 @@ def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     order = ["part", "row", "copy"]
     found = sampled_pieces.encode_documents(mixing.with_order(docs), copy_col="copy", carry=order)
+    found = written(found, "pieces")  # sorting by range reads its input twice
     return found.repartitionByRange("part", "row").sortWithinPartitions("part", "row")
 
 
