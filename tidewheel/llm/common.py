@@ -130,7 +130,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, how: str = "inner") -> DataFrame:
     """rows joined with table (one row per key) on key, inner or left; count, a column of table, says how many rows have its key.
 
     Rows of hot keys look theirs up in a broadcast of at most 1 / HOT_SHARE rows, all others by sort-merge join, so no key

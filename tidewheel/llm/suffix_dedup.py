@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, trimmed, written
+from .common import discard, join_hot, text_or_empty, trimmed, written
 from .shingles import mixed, powers
 
 MIN_LEN = 200
@@ -301,13 +301,14 @@ def covered(texts: DataFrame, min_len: int = MIN_LEN, most_regions: int = MOST_R
     """Ranges rid, s, e of repeated bytes in the texts of scanned(); they overlap."""
     every = texts.select("rid", F.explode(F.arrays_zip("h", "g", "at")).alias("x")).select("rid", "x.h", "x.g", "x.at")
     groups = every.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    groups = written(groups.select("h", (F.col("lo") != F.col("hi")).alias("differ")), "groups")
-    often = written(every.join(groups, "h"), "often")
+    groups = written(groups.select("h", (F.col("lo") != F.col("hi")).alias("differ"), "n"), "groups")
+    often = written(join_hot(every, groups, "h", "n").drop("n"), "often")
+    discard(groups)
     start = F.shiftright("at", 16)
     reach = [start.alias("s"), (start + F.col("at").bitwiseAND(255) + min_len).alias("e")]
     whole = often.where("NOT differ").select("rid", *reach)
     kinds = written(often.where("differ").groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("x")), "kinds")
-    whole = whole.unionByName(often.where("differ").join(kinds.where("n > 1").select("h", "g"), ["h", "g"]).select("rid", *reach))
+    whole = whole.unionByName(join_hot(often.where("differ"), kinds.where("n > 1").select("h", "g", "n"), ["h", "g"], "n").select("rid", *reach))
     many = written(kinds.groupBy("h").agg(F.count("*").alias("of")), "many")
     wanted = kinds.join(many, "h").select("x.rid", "x.at", "h", "n", "of")
     parts = by_intervals(region_rows(texts, wanted.where(F.col("of") <= most_regions), min_len), min_len)
