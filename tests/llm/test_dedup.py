@@ -271,6 +271,27 @@ def test_pieces_join_to_the_line():
     assert paragraphs.pieces(text)[0] == ["One two. Three four five six! ", "seven"]
 
 
+def test_long_sentences_are_cut_by_their_words():
+    rng = random.Random(5)
+    passage = words(rng, 70)
+    inside = [" ".join(words(rng, rng.randrange(30, 300)) + passage + words(rng, rng.randrange(30, 300))) for _ in range(8)]
+    found = [set(paragraphs.pieces(t)[0]) for t in inside]
+    common = set.intersection(*found)
+    assert sum(len(p.split()) for p in common) >= 35  # but for what stands at its ends
+    for t in [*inside, "  ".join(words(rng, 500)), "a b " * 400, "same " * 300, "é" * 100_000, "\u2003".join(passage), "x" * 90 + " y"]:
+        assert "".join(paragraphs.pieces(t)[0]) == t and all(p.strip() for p in paragraphs.pieces(t)[0])
+    assert paragraphs.pieces("same " * 300) == [["same " * 300]] and paragraphs.cuts("") == []
+
+
+def test_a_passage_in_text_without_sentences_is_found(spark):
+    rng = random.Random(6)
+    passage = " ".join(words(rng, 80))
+    mid = lambda: " ".join(words(rng, rng.randrange(40, 200)))
+    texts = [f"{mid()} {passage} {mid()}" for _ in range(6)] + [mid() for _ in range(12)]
+    rows = paragraphs.paragraph_classes(frame(spark, texts)).where("removed").select("doc_id").distinct().collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5}
+
+
 def test_short_pieces_have_classes_and_stay(spark, tmp_path):
     texts = ["Read more\n\n---\none two three four five", "read  more!\n \n***", "---\nread\n\none two three four five", None]
     frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
