@@ -166,6 +166,36 @@ def test_programs_keep_every_packet_and_follow_the_head(spark, function, techniq
         assert {r.seq: r.action for r in out} == simulated_firewall(rows, 12)
 
 
+def test_lanes_with_tables_of_their_own(spark):
+    """A reply that falls into another lane than its request passes a shared table alone."""
+    rows = [(0, 1, "LAN", 17, 5, 9, 40, 80, 1), (1, 2, "WAN", 17, 9, 5, 80, 40, 1)]
+    df = packets(spark, rows).withColumn("lane", F.when(F.col("seq") == 0, "a").otherwise("b"))
+    acted = lambda own: {r.seq: r.action for r in programs.decide(df, "fw", 10, own).collect()}
+    assert acted(False) == {0: "WAN", 1: "LAN"} and acted(True) == {0: "WAN", 1: "DROP"}
+
+
+def test_sampled_packets_are_dropped_and_leave_no_state(spark):
+    rows = [(0, 1, "LAN", 17, 5, 9, 40, 80, 1), (1, 2, "WAN", 17, 9, 5, 80, 40, 1), (2, 3, "LAN", 17, 5, 9, 40, 80, 1), (3, 4, "WAN", 17, 9, 5, 80, 40, 1)]
+    run = lambda **o: {r.seq: r.action for r in programs.program(packets(spark, rows), "fw", "orchestrator_sorted", timeout_us=10, **o).collect()}
+    assert run(phase=1) == {0: "DROP", 1: "DROP", 2: "WAN", 3: "LAN"}
+    assert run() == run(sketch=(3, 64)) == {0: "WAN", 1: "LAN", 2: "WAN", 3: "LAN"}
+
+
+def test_sketches_that_windows_clear(spark):
+    df = packets(spark, traffic(6, 400))
+    exact = {(r.window_id, r.kind, r.key): r.n for r in programs.telemetry(df, interval_us=100).collect()}
+    wide = {(r.window_id, r.kind, r.key): r.estimate for r in programs.sketched_telemetry(df, 100).collect()}
+    narrow = {(r.window_id, r.kind, r.key): r.estimate for r in programs.sketched_telemetry(df, 100, 1, 2).collect()}
+    assert wide == exact and narrow.keys() == exact.keys() and all(narrow[k] >= n for k, n in exact.items()) and narrow != exact
+    rows = windows.fixed_window(df, 100)
+    sketch = sketches.count_min(rows, F.col("src_ip"), window=F.col("window_id"))
+    keys = rows.select("window_id", F.col("src_ip").alias("key")).distinct()
+    true = {(r.window_id, r.src_ip): r["count"] for r in rows.groupBy("window_id", "src_ip").count().collect()}
+    assert {(r.window_id, r.key): r.estimate for r in sketches.estimate(sketch, keys, F.col("key")).collect()} == true
+    early = sketches.bloom(rows.where("window_id = 0"), F.col("src_ip"), window=F.col("window_id"))
+    assert {(r.window_id == 0, r.member) for r in sketches.maybe_in(early, keys, F.col("key")).collect()} == {(True, True), (False, False)}
+
+
 def test_programs_reject_unknown_names(spark):
     with pytest.raises(ValueError):
         programs.program(packets(spark, traffic(1, 2)), "nop", "none")

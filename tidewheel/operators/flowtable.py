@@ -59,11 +59,12 @@ def with_sessions(df: DataFrame, timeout_us: int = TIMEOUT_US, key: Column | Non
     return df.drop("__flow", "__slice", "__s", "__new", "__run", "__lan", "__lan_before", "__start", "__head", "__open_start", "__open_lan")
 
 
-def firewall(df: DataFrame, timeout_us: int = TIMEOUT_US, slice_us: int | None = None) -> DataFrame:
+def firewall(df: DataFrame, timeout_us: int = TIMEOUT_US, slice_us: int | None = None, key: Column | None = None) -> DataFrame:
     """df with flow, session_start and action: LAN packets go to WAN, WAN packets to LAN if a flow is alive, else DROP.
-    Packets that are not TCP or UDP over IPv4, and those without a time or a device, are dropped and leave the table alone."""
+    Packets that are not TCP or UDP over IPv4, and those without a time or a device, are dropped and leave the table alone. Flows are those of key,
+    if given: with a lane in it each lane has a table of its own."""
     ok = F.col("proto").isin(6, 17) & F.col("now_us").isNotNull() & F.col("device").isNotNull()
-    found = with_sessions(df.where(ok), timeout_us, slice_us=slice_us)
+    found = with_sessions(df.where(ok), timeout_us, key, slice_us)
     action = F.when(F.col("device") == LAN, WAN).when(F.col("lan_before"), LAN).otherwise(DROP)
     found = found.withColumn("action", action).drop("lan_before")
     rest = df.where(~F.coalesce(ok, F.lit(False)))

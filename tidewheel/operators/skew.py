@@ -69,12 +69,13 @@ def expected_speedup(counts: DataFrame, elephant_gain: float, mice_gain: float,
     return marked.agg(share.alias("share"), F.count(F.when(F.col("elephant"), 1)).alias("n_elephants")).withColumn("speedup", F.col("share") * elephant_gain + (1 - F.col("share")) * mice_gain)
 
 
-def split_lanes(df: DataFrame, key: Column, k: int, phase: int | None = None, protocols: tuple[int, ...] | None = (17,)) -> DataFrame:
+def split_lanes(df: DataFrame, key: Column, k: int, phase: int | None = None, protocols: tuple[int, ...] | None = (17,), sketch: tuple[int, int] | None = None) -> DataFrame:
     """df with lane, elephant or mice: elephants are the k heaviest keys of the packets with seq below phase (all of them if
-    none) and, as a rule of the hardware, of these protocols only. k rows are broadcast."""
+    none) and, as a rule of the hardware, of these protocols only. k rows are broadcast. With the height and width of a sketch, weights are its estimates."""
     sample = df if phase is None else df.where(F.col("seq") < phase)
-    heavy = sketches.top_k(sample, key, k).select(F.col("key").alias("__heavy"))
-    found = df.withColumn("__key", key).join(F.broadcast(heavy), F.col("__key").eqNullSafe(F.col("__heavy")), "left")
+    heavy = sketches.top_k_sketched(sample, key, k, *sketch) if sketch else sketches.top_k(sample, key, k)
+    heavy = heavy.select(F.col("key").alias("__heavy"))
+    found = df.withColumn("__key", key.cast("string") if sketch else key).join(F.broadcast(heavy), F.col("__key").eqNullSafe(F.col("__heavy")), "left")
     rule = F.col("__heavy").isNotNull()
     if protocols is not None:
         rule = rule & F.col("proto").isin(*protocols)

@@ -355,9 +355,9 @@ def orchestrated_strides(spark, sf):
     return runs.groupBy("lane").agg(F.count("*").alias("n_strides"), F.sum("stride_size").alias("n_packets"), F.max("stride_size").alias("longest"))
 
 
-def _program(function: str, technique: str):
+def _program(function: str, technique: str, **options):
     def run(spark, sf):
-        found = programs.program(_packets(spark, sf), function, technique, timeout_us=TIMEOUT)
+        found = programs.program(_packets(spark, sf), function, technique, timeout_us=TIMEOUT, **options)
         return found.groupBy("device", "action").agg(F.count("*").alias("n_packets"), F.count(F.when(F.col("position") == 0, 1)).alias("n_strides"))
 
     return run
@@ -404,6 +404,65 @@ for _t in programs.TECHNIQUES:
     ORACLE_SQL[f"program_fw_{_t}"] = f"WITH {PACKETS}, {_HEADS[_t]}, {_FW_HEADS}, d AS (SELECT seq, action FROM fw) {_end}"
 
 
+# a flow table for each lane
+_OWN_HEADS = _FW_HEADS.replace("PARTITION BY flow", "PARTITION BY lane, flow")
+for _t in programs.TECHNIQUES[programs.TECHNIQUES.index("multicore") :]:
+    QUERIES[f"program_fw_own_state_{_t}"] = _program("fw", _t, own_state=True)
+    ORACLE_SQL[f"program_fw_own_state_{_t}"] = f"WITH {PACKETS}, {_HEADS[_t]}, {_OWN_HEADS}, d AS (SELECT seq, action FROM fw) {_end}"
+
+
+@query(
+    f"""{LANES} WHERE seq >= 4000), {_LANED}, h AS (SELECT *, CASE WHEN lane = 'mice' THEN seq ELSE min(seq) OVER (PARTITION BY lane, batch_id, key) END AS head FROM n), {_OWN_HEADS}, d AS (SELECT seq, action FROM fw),
+e AS ({_end} UNION ALL SELECT device, 'DROP', count(*), 0 FROM k WHERE seq < 4000 GROUP BY 1) SELECT device, action, sum(n_packets)::BIGINT AS n_packets, sum(n_strides)::BIGINT AS n_strides FROM e GROUP BY 1, 2""".replace("USING (key)) WHERE", "USING (key) WHERE")
+)
+def program_fw_sampled(spark, sf):
+    """The orchestrated firewall: 4,000 packets are sampled and dropped, then lanes run with tables of their own."""
+    return _program("fw", "orchestrator_sorted", own_state=True, phase=4000)(spark, sf)
+
+
+def _estimate_sql(rows: str, by: str, height: int, width: int) -> str:
+    each = " UNION ALL ".join(f"SELECT *, {r} AS row, (({core.A[r]} * (x % {core.P}) + {core.B[r]}) % {core.P}) % {width} AS cell FROM hx" for r in range(height))
+    return f"hx AS (SELECT *, ('0x' || substr(md5(key), 1, 8))::BIGINT AS x FROM {rows}), ce AS ({each}), cs AS (SELECT *, sum(n) OVER (PARTITION BY {by}row, cell) AS s FROM ce)"
+
+
+_IPS = "'{' || src_ip || ', ' || dst_ip || '}'"
+
+
+@query(f"WITH {PACKETS}, ct AS (SELECT now_us // {24 * HOUR} AS window_id, {_IPS} AS key, count(*) AS n FROM packets GROUP BY 1, 2), {_estimate_sql('ct', 'window_id, ', 3, 16)} SELECT window_id, 'ips' AS kind, key, min(s)::BIGINT AS estimate FROM cs GROUP BY 1, 3")
+def telemetry_sketched(spark, sf):
+    """Narrow sketches of address pairs, cleared every day."""
+    return programs.sketched_telemetry(_packets(spark, sf), 24 * HOUR, 3, 16).where("kind = 'ips'")
+
+
+@query(
+    f"""WITH RECURSIVE {PACKETS}, t AS (SELECT DISTINCT now_us FROM packets), r(reset_us) AS (SELECT min(now_us) FROM t UNION ALL SELECT (SELECT min(now_us) FROM t WHERE now_us >= r.reset_us + {24 * HOUR}) FROM r WHERE r.reset_us IS NOT NULL),
+a AS (SELECT reset_us FROM r WHERE reset_us IS NOT NULL), ct AS (SELECT (SELECT max(reset_us) FROM a WHERE reset_us <= now_us) AS window_id, {_IPS} AS key, count(*) AS n FROM packets GROUP BY 1, 2),
+{_estimate_sql('ct', 'window_id, ', 3, 16)} SELECT window_id, 'ips' AS kind, key, min(s)::BIGINT AS estimate FROM cs GROUP BY 1, 3"""
+)
+def telemetry_sketched_anchored(spark, sf):
+    """The same, cleared at the first packet a day after the last time."""
+    return programs.sketched_telemetry(_packets(spark, sf), 24 * HOUR, 3, 16, anchored=True).where("kind = 'ips'")
+
+
+@query(f"WITH ct AS (SELECT user_id::VARCHAR AS key, count(*) AS n FROM events GROUP BY 1), {_estimate_sql('ct', '', 2, 64)} SELECT key, min(s)::BIGINT AS estimate FROM cs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 32")
+def top_k_sketched(spark, sf):
+    return sketches.top_k_sketched(spark.read.parquet(f"{sf}/events.parquet"), F.col("user_id"), 32, 2, 64)
+
+
+@query(
+    f"""WITH w AS (SELECT DISTINCT epoch_us(ts) // {24 * HOUR} AS window_id, user_id AS key, event_type FROM events), x AS (SELECT * FROM w WHERE event_type = 'login'),
+b AS (SELECT DISTINCT window_id, row, cell FROM ({' UNION ALL '.join(f'SELECT window_id, {r} AS row, (({core.A[r]} * (key % {core.P}) + {core.B[r]}) % {core.P}) % 128 AS cell FROM x' for r in range(3))})),
+a AS ({' UNION ALL '.join(f"SELECT window_id, key, {r} AS row, (({core.A[r]} * (key % {core.P}) + {core.B[r]}) % {core.P}) % 128 AS cell FROM w WHERE event_type = 'error'" for r in range(3))})
+SELECT window_id, key, count(b.cell) = 3 AS member FROM a LEFT JOIN b USING (window_id, row, cell) GROUP BY 1, 2"""
+)
+def bloom_by_window(spark, sf):
+    """Whether users with an error logged in on the same day, by a filter that is cleared every day."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (24 * HOUR)).cast("long").alias("window_id"))
+    asked = e.where("event_type = 'error'").select("window_id", F.col("user_id").alias("key")).distinct()
+    filters = sketches.bloom(e.where("event_type = 'login'"), F.col("user_id"), 3, 128, F.col("window_id"))
+    return sketches.maybe_in(filters, asked, F.col("key"), 3, 128)
+
+
 # windows, limits, hashing
 
 
@@ -479,6 +538,12 @@ def zipf_sweep(spark, sf):
     return runs.groupBy("key.zipf").agg(F.avg("stride_size").alias("mean_stride"), F.count("*").alias("n_strides"))
 
 
+@query(f"SELECT i AS seq, floor({_DRAW.format(salt='7:u')} * 1000)::BIGINT AS src_ip, CASE WHEN {_DRAW.format(salt='7:k')} < 0.9 THEN 'get' ELSE 'put' END AS op FROM range(20000) r(i)")
+def generated_requests(spark, sf):
+    """Requests to a key-value store, nine of ten of them reads, drawn with a seed."""
+    return traffic.packets(spark, 20_000, 1000, seed=7, get_ratio=0.9).select("seq", "src_ip", "op")
+
+
 @query()
 def generated_gain(spark, sf):
     """Mean run of skewed traffic with and without a logical batch."""

@@ -74,10 +74,13 @@ def sweep(rows: DataFrame, n_flows: int, exponents: list[float], seq: str = "seq
     return rows.withColumn("flow", F.when(F.col("zipf") == 0, even).otherwise(pick(u, F.col("zipf"))))
 
 
-def packets(spark: SparkSession, n: int, n_flows: int, s: float = 0.0, packet_size: int = 64, gap_us: int = 1, logical_batch: int = 1) -> DataFrame:
-    """n packets of n_flows flows; a logical batch sends that many packets of a flow in a row."""
+def packets(spark: SparkSession, n: int, n_flows: int, s: float = 0.0, packet_size: int = 64, gap_us: int = 1, logical_batch: int = 1, seed: int | None = None, get_ratio: float | None = None) -> DataFrame:
+    """n packets of n_flows flows; a logical batch sends that many packets of a flow in a row. Another seed draws others. With
+    get_ratio the packets are requests to a key-value store: op is get for that share of them, else put."""
     rows = spark.range(n).withColumnRenamed("id", "seq").withColumn("__run", F.floor(F.col("seq") / logical_batch).cast("long"))
-    rows = zipf_flows(rows, n_flows, s, seq="__run") if s else uniform_flows(rows, n_flows, seq="__run")
+    salt = "" if seed is None else f"{seed}:"
+    rows = zipf_flows(rows, n_flows, s, seq="__run", salt=f"{salt}z") if s else uniform_flows(rows, n_flows, seq="__run", salt=f"{salt}u")
+    op = [] if get_ratio is None else [F.when(unit_draw(F.col("seq"), f"{salt}k") < get_ratio, "get").otherwise("put").alias("op")]
     return rows.select(
         "seq",
         (F.col("seq") * gap_us).alias("now_us"),
@@ -88,6 +91,7 @@ def packets(spark: SparkSession, n: int, n_flows: int, s: float = 0.0, packet_si
         (F.col("flow") % 65536).cast("int").alias("src_port"),
         F.lit(80).alias("dst_port"),
         F.lit(packet_size).cast("long").alias("pkt_len"),
+        *op,
     )
 
 
