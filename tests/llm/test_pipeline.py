@@ -241,6 +241,12 @@ def test_toxicity_matches_brute_force(spark):
     assert all(got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
 
 
+def test_toxicity_with_all_features(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    scores = lambda n: {r.doc_id: r.score for r in toxicity.score_documents(docs, labels, n_features=n).collect()}
+    assert scores(None) == scores(1 << toxicity.HASH_BITS) != scores(50)
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate([None, "", "bad idiot words", "good words", "good day"] * 8)] + [(None, "x", 1.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, int(i % 5 == 2)) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")

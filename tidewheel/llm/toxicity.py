@@ -6,7 +6,9 @@ fitted on the scaled features. Counting runs over the training rows on the execu
 driver and bounded by max_train rows and n_features features. Scoring is one pass over whole texts.
 
 Rules: null text scores as empty text does (the intercept alone); a null label or id is not trained on; several
-labels of one id count as toxic if any is. Without labels of both classes the score is the share of toxic ones
+labels of one id count as toxic if any is; rows repeated with one id are trained on as often as they occur. A text of any
+length is scored whole; its n-grams count once each, so in the fit it has at most n_features of them. No rows give no rows.
+Without labels of both classes the score is the share of toxic ones
 among them (0 without any). Other columns are ignored and kept as they are by ``add_score``.
 """
 
@@ -119,8 +121,9 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, n_features: int = N_FEATURES) -> Model:
-    """Fit on labelled rows that are not held out; of more than max_train, those with the smallest hashes of their id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, n_features: int | None = N_FEATURES) -> Model:
+    """Fit on labelled rows that are not held out; of more than max_train, those with the smallest hashes of their id.
+    n_features None: all n-grams of MIN_DOCS training rows take part."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
     n = known.count()
@@ -156,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratio = F.log((p + SMOOTHING) / (n_pos + 2 * SMOOTHING) / ((q + SMOOTHING) / (n_neg + 2 * SMOOTHING)))
     expected = (p + q) * F.lit(n_pos / (n_pos + n_neg))
     chosen = counts.where((F.col("bucket") >= 0) & (p + q >= MIN_DOCS)).withColumn("ratio", ratio).withColumn("chi", (p - expected) * (p - expected) / expected)
-    chosen = chosen.orderBy(F.col("chi").desc(), "bucket").limit(n_features).select("bucket", "ratio").toPandas()
+    chosen = chosen.orderBy(F.col("chi").desc(), "bucket")
+    chosen = (chosen if n_features is None else chosen.limit(n_features)).select("bucket", "ratio").toPandas()
     index = empty
     index[chosen["bucket"].to_numpy()] = np.arange(len(chosen), dtype=np.int32)
     scale = chosen["ratio"].to_numpy(dtype=float)
