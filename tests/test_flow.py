@@ -326,3 +326,9 @@ def test_statistics(spark):
     assert stats.of_keys(df, spark.createDataFrame([(1,)], "a int"), ["a"]).count() == 2
     grid = {(r.a, r.b): r.n for r in stats.filled_grid(df.withColumn("n", F.lit(7)), {"a": [1, 2], "b": [None, 4]}, ["n"]).collect()}
     assert grid == {(1, None): 7, (1, 4): 0, (2, None): 0, (2, 4): 7}
+
+
+def test_percent_prints_as_c_does(spark):
+    parts = [(n, 800) for n in range(801)] + [(75, 100_000), (1005, 100_000), (1, 3), (2, 3), (4321, 100)]
+    rows = spark.createDataFrame(parts, "part long, whole long").select("part", "whole", core.percent(F.col("part"), F.col("whole")).alias("shown")).collect()
+    assert [r.shown for r in rows] == [f"{100.0 * r.part / r.whole:5.2f}%" for r in rows]

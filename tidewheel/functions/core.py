@@ -72,8 +72,9 @@ def per_core(value: Column, cores: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """As '%5.2f%%' prints it."""
-    return F.format_string("%5.2f%%", F.lit(100.0) * part / whole)
+    """As '%5.2f%%' prints it in C: the double itself is rounded, a tie to the even digit (format_string would round the shortest
+    decimal that reads as the double, a tie up)."""
+    return F.format_string("%5s%%", F.call_function("format_number", F.lit(100.0) * part / whole, F.lit("0.00")))
 
 
 def humanised(value: Column) -> Column:

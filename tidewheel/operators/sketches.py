@@ -90,9 +90,9 @@ def approximate_top_k(df: DataFrame, key: Column, k: int = 256) -> DataFrame:
 
 
 def shares(counts: DataFrame, weight: str = "weight") -> DataFrame:
-    """counts with share, in percent of all."""
-    total = counts.agg(F.sum(weight).alias("__t"))
-    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.lit(100.0) * F.col(weight) / F.col("__t")).drop("__t")
+    """counts with total and share, in percent of all."""
+    total = counts.agg(F.sum(weight).alias("total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.lit(100.0) * F.col(weight) / F.col("total"))
 
 
 def running_maximum(df: DataFrame, key: Column) -> DataFrame:

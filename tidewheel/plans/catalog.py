@@ -302,7 +302,7 @@ def approximate_top_k(spark, sf):
 def heavy_hitter_share(spark, sf):
     counts = skew.flow_counts(spark.read.parquet(f"{sf}/events.parquet"), F.col("user_id")).withColumnRenamed("n", "weight")
     found = sketches.shares(counts)
-    return found.select("key", "weight", F.round("share", 9).alias("share"), core.percent(F.col("share"), F.lit(100.0)).alias("shown"))
+    return found.select("key", "weight", F.round("share", 9).alias("share"), core.percent(F.col("weight"), F.col("total")).alias("shown"))
 
 
 # elephants and mice
