@@ -298,3 +298,47 @@ def test_short_pieces_have_classes_and_stay(spark, tmp_path):
     rows = {(r.doc_id, r.line, r.piece): ((r.class_id, r.class_line, r.class_piece), r.removed) for r in queries.QUERIES["op1_paragraph_dedup"](spark, str(tmp_path)).collect()}
     assert rows == brute_paragraphs(texts)
     assert rows[1, 0, 0] == ((0, 0, 0), False) and rows[2, 0, 0] == ((0, 2, 0), False)
+
+
+def test_no_pair_of_pieces_is_left_out(spark):
+    rng = random.Random(12)
+    texts = ["ha " * 5, "ha " * 6, "a b a b a b a", "b a b a b a b"]  # equal sets of shingles
+    for n in (5, 8, 9, 12, 13, 14, 20, 30, 40):
+        for _ in range(12):
+            w = words(rng, n)
+            texts += [" ".join(x) for x in (w, [*w, "more"], ["more", *w], [*w[:-1], "last"], ["first", *w[1:]])]
+    want = brute_paragraphs(texts)
+    rows = paragraphs.paragraph_classes(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.line, r.piece): ((r.class_id, r.class_line, r.class_piece), r.removed) for r in rows} == want
+    assert want[1, 0, 0][0] == (0, 0, 0)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9, 1.0])
+def test_similar_pieces_share_a_least_shingle(similarity):
+    rng = random.Random(14)
+    texts = []
+    for _ in range(120):
+        w = words(rng, rng.randrange(5, 60))
+        texts += [" ".join(w), " ".join(w[rng.randrange(3) :]), " ".join([*w, "x y"]), " ".join(x if rng.random() > 0.02 else "z" for x in w)]
+    hashes, starts = shingles.shingles(*shingles.word_hashes(texts))
+    sets = [shingles.counted(t) for t in texts]
+    some = np.unique(hashes)[::3]
+    for frequent in ((some[:0], some[:0]), (some, np.arange(len(some), dtype=np.uint64) + np.uint64(3))):
+        values, ends, size = paragraphs.least_shingles(hashes, starts, similarity, frequent)
+        least = [set(x.tolist()) for x in np.split(values, ends[1:-1])]
+        assert size.tolist() == [len(keys) for keys, _ in sets]
+        links = [(i, j) for i in range(len(texts)) for j in range(i) if near_dup.jaccard(sets[i], sets[j]) >= similarity]
+        assert len(links) > 100 or similarity == 1
+        assert all(least[i] & least[j] for i, j in links)
+    a, b = zip(*[(texts[i], texts[j]) for i in range(40) for j in range(40)], strict=True)
+    assert paragraphs.jaccards(list(a), list(b)).tolist() == [near_dup.jaccard(sets[i], sets[j]) for i in range(40) for j in range(40)]
+    assert paragraphs.jaccards(["", "x " * 300_000], ["a", "x " * 300_000]).tolist() == [0.0, 1.0] and paragraphs.jaccards([], []).tolist() == []
+
+
+def test_frequent_shingles_are_those_of_most_pieces(spark):
+    common = "one two three four five six seven"
+    docs = frame(spark, [f"{common} v{i}." for i in range(20)] + [f"{common} v0."] * 50 + [None, ""]).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    keys, n = paragraphs.frequent_shingles(docs.coalesce(1))
+    assert keys.tolist() == sorted(shingles.counted(common)[0].tolist()) and set(n.tolist()) == {20}
+    few, _ = paragraphs.frequent_shingles(docs.coalesce(1), rows=1)
+    assert len(few) <= 3 and len(paragraphs.frequent_shingles(docs.limit(0))[0]) == 0

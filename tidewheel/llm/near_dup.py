@@ -52,18 +52,22 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 @dataclass
 class Measure:
     """similarity(features(x), features(y)) >= least links two texts. sets: features are (sorted keys, weights) and the
-    similarity is at most the share of either's weight that is common."""
+    similarity is at most the share of either's weight that is common. pairs: the similarities of two lists of texts."""
 
     features: Callable
     similarity: Callable
     least: float
     sets: bool = False
+    pairs: Callable | None = None
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs a, b whose texts are linked. nodes: node, text."""
-    rows = pairs.join(nodes.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    rows = rows.join(nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs a, b whose texts are linked. nodes: node, text, and size where sets that differ too much in it cannot be."""
+    sized = [c for c in nodes.columns if c == "size"]
+    of = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("text", *sized)])
+    rows = pairs.join(of("a"), "a").join(of("b"), "b")
+    if sized:
+        rows = rows.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * measure.least - 1e-9)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple] = {}
@@ -76,8 +80,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
             return seen[node]
 
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             x, y = batch.column("text_a"), batch.column("text_b")
+            if measure.pairs:
+                yield batch.select(["a", "b"]).filter(pa.array(measure.pairs(x.to_pylist(), y.to_pylist()) >= measure.least))
+                continue
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ok = [measure.similarity(of(i, x[k]), of(j, y[k])) >= measure.least for k, (i, j) in enumerate(zip(a, b, strict=True))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -154,9 +161,9 @@ def with_heads(found: DataFrame, by: list[str]) -> DataFrame:
 
 
 def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
-    """items (a written table): rid long (unique), key binary, bands array<long>, text string, and more.
+    """items (a written table): rid long (unique), key binary, bands array<long>, text string, size int if sets, and more.
 
-    Returns items without bands and text but with root: the smallest rid of the class the item is in, null where
+    Returns items without bands, text and size but with root: the smallest rid of the class the item is in, null where
     it is alone in its class.
     """
     reps = items.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
@@ -169,7 +176,7 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     by_high = shared.where("node < high AND node > low").select(F.col("node").alias("a"), F.col("high").alias("b"))
     pairs = written(by_low.unionByName(by_high).distinct(), "pairs")
     wanted = shared.select("node").distinct()
-    texts = written(items.join(wanted.hint("merge"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "text"), "texts")
+    texts = written(items.join(wanted.hint("merge"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "text", *[c for c in items.columns if c == "size"]), "texts")
     links = written(verified(pairs, texts, measure), "verified")
     discard(pairs)
     roots = components(links)
@@ -182,11 +189,11 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     main = written(main, "mains")
     discard(size, shared)
     if not main.isEmpty():
-        rows = big.join(main, "band").join(texts, "node").join(reps.select("node", "bands"), "node")
+        rows = big.join(main, "band").join(texts.select("node", "text"), "node").join(reps.select("node", "bands"), "node")
         late = written(across(rows, measure), "verified")
         if not late.isEmpty():
             roots = components(links.unionByName(late))
     classes = reps.join(roots, "node", "left").where("root IS NOT NULL OR copies > 1")
     classes = written(classes.select("key", F.coalesce("root", "node").alias("root"), "copies"), "classes")
     discard(reps, texts, links, big, main)
-    return join_hot(items.drop("bands", "text"), classes, "key", "copies", "left").drop("copies")
+    return join_hot(items.drop("bands", "text", "size"), classes, "key", "copies", "left").drop("copies")
