@@ -342,3 +342,29 @@ def test_frequent_shingles_are_those_of_most_pieces(spark):
     assert keys.tolist() == sorted(shingles.counted(common)[0].tolist()) and set(n.tolist()) == {20}
     few, _ = paragraphs.frequent_shingles(docs.coalesce(1), rows=1)
     assert len(few) <= 3 and len(paragraphs.frequent_shingles(docs.limit(0))[0]) == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_deals_a_hot_key_and_returns_each_row_once(spark, how):
+    rows = spark.range(6000).select(F.col("id").alias("rid"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("key"))
+    table = spark.createDataFrame([(0, 3000, "hot")] + [(i, 1, f"t{i}") for i in range(1, 6000, 4)], "key long, n long, name string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = common.join_spread(rows, table, "key", "n", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "key", how).collect()))
+        assert got.where("key = 0").select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "LeftOuter" in plan.split("BroadcastHashJoin")[1].split("\n")[0]  # no join of hot rows alone
+        assert common.join_spread(rows.limit(0), table.limit(0), "key", "n", how).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_classes_of_pieces_join_all_rows_at_once(spark):
+    texts = ["Some words that all documents have."] * 3000 + [f"Only here {i}." for i in range(3000)]
+    items = paragraphs.prepared(frame(spark, texts).select("doc_id", "text"))
+    found = near_dup.near_classes(items, near_dup.Measure(paragraphs.distinct_shingles, near_dup.jaccard, 0.8, sets=True, pairs=paragraphs.jaccards), common.join_spread)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "LeftAnti" not in plan and "Union" not in plan
+    assert found.groupBy("root").count().where("root IS NOT NULL").collect()[0]["count"] == 3000 and found.count() == 6000

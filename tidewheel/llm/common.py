@@ -144,6 +144,22 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], count: str
     return rows.join(hot, key).unionByName(rest)
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """As join_hot, in one sort-merge join that returns each of rows once at most: rows of a hot key (rows have a rid, unique) are
+    dealt by rid to parts of a share below HOT_SHARE each, and the one row of table is there for each part.
+
+    Only the hot keys, with their parts, are broadcast, and rows are read once.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    least = max(2, int(total * HOT_SHARE) + 1)
+    n_parts = F.ceil(F.col(count) / least).cast("int")
+    hot = F.broadcast(table.where(F.col(count) >= least).select(key, n_parts.alias("__parts")))
+    part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid"), F.col("__parts"))).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("__part", part).drop("__parts")
+    parts = F.when(F.col(count) >= least, F.sequence(F.lit(0), n_parts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(table.withColumn("__part", F.explode(parts)).hint("merge"), [key, "__part"], how).drop("__part")
+
+
 def keep_winners(docs: DataFrame, winners: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs named by winners (digest, keep_id), each once, with the columns of docs.
 

@@ -153,14 +153,14 @@ def across(rows: DataFrame, measure: Measure) -> DataFrame:
     return rows.repartition("band", "f", "g").sortWithinPartitions("band", "f", "g").mapInArrow(trimmed(compare), "a long, b long")
 
 
-def with_heads(found: DataFrame, by: list[str]) -> DataFrame:
+def with_heads(found: DataFrame, by: list[str], join: Callable = join_hot) -> DataFrame:
     """found (a written table of rows with rid and root) with head, the row of its class that is first by these columns: a
     struct of them and rid, and n, the rows of its class. Which row it is does not depend on how rows were numbered."""
     heads = written(found.groupBy("root").agg(F.min(F.struct(*by, "rid")).alias("head"), F.count("*").alias("n")), "heads")
-    return join_hot(found, heads, "root", "n")
+    return join(found, heads, "root", "n")
 
 
-def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
+def near_classes(items: DataFrame, measure: Measure, join: Callable = join_hot) -> DataFrame:
     """items (a written table): rid long (unique), key binary, bands array<long>, text string, size int if sets, and more.
 
     Returns items without bands, text and size but with root: the smallest rid of the class the item is in, null where
@@ -196,4 +196,4 @@ def near_classes(items: DataFrame, measure: Measure) -> DataFrame:
     classes = reps.join(roots, "node", "left").where("root IS NOT NULL OR copies > 1")
     classes = written(classes.select("key", F.coalesce("root", "node").alias("root"), "copies"), "classes")
     discard(reps, texts, links, big, main)
-    return join_hot(items.drop("bands", "text", "size"), classes, "key", "copies", "left").drop("copies")
+    return join(items.drop("bands", "text", "size"), classes, "key", "copies", "left").drop("copies")

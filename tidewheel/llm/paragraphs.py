@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near_dup, shingles
-from .common import discard, text_or_empty, trimmed, written
+from .common import discard, join_spread, text_or_empty, trimmed, written
 from .shingles import mixed
 
 SIMILARITY = 0.8
@@ -217,10 +217,10 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     items = prepared(docs, id_col, text_col, min_piece, min_banded, similarity)
     place = ["id", "line", "piece"]
     columns = ["rid", "doc", *place, "n_words"]
-    found = near_dup.near_classes(items.where("key IS NOT NULL"), near_dup.Measure(distinct_shingles, near_dup.jaccard, similarity, sets=True, pairs=jaccards))
+    found = near_dup.near_classes(items.where("key IS NOT NULL"), near_dup.Measure(distinct_shingles, near_dup.jaccard, similarity, sets=True, pairs=jaccards), join_spread)
     found, empty = written(found.select(*columns, "root"), "class_rows"), written(items.where("key IS NULL").select(*columns), "empty_rows")
     discard(items)
-    heads = written(near_dup.with_heads(found.where("root IS NOT NULL"), place).select(*columns, "head"), "head_rows")
+    heads = written(near_dup.with_heads(found.where("root IS NOT NULL"), place, join_spread).select(*columns, "head"), "head_rows")
     # rows are numbered in order, so a run of copies is one of consecutive numbers in a document
     of = Window.partitionBy(F.shiftright("rid", 33), "doc").orderBy("rid")
     copies = heads.where(F.col("rid") != F.col("head.rid")).withColumn("run", F.col("rid") - F.row_number().over(of))
